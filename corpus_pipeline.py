@@ -1,10 +1,68 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next.
+
+Language ID drops documents without a recognisable language; the n-gram Jaccard join keeps one
+document of each near-duplicate group; decontamination drops documents that hold a benchmark
+passage; personal data is masked in the text; the last stage returns token ids.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslens.llm import decontaminate, langid, pii, sentencepiece_codec
+from corpuslens.llm.ngram_join import jaccard_components
+from corpuslens.llm.shared import Scratch, read_table
+
+#: What a documents table has; a stage may get more columns, and keeps them.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is undetermined; fills in a missing lang."""
+    pred, score = "__lang_pred", "__lang_score"
+    found = langid.identify(docs, langid.fit(docs), lang_pred=pred, score=score)
+    return found.where(F.col(pred) != "und").withColumn("lang", F.coalesce("lang", pred)).drop(pred, score)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of shingle similarity 0.8 or more."""
+    groups = jaccard_components(docs, width=5, percent=80).where("component_id = doc_id or doc_id is null")
+    kept = docs.join(groups.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which any window of a benchmark item occurs."""
+    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"), width=10)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data; n_chars follows the text."""
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens) of every document that is left."""
+    return sentencepiece_codec.encoded(docs, sentencepiece_codec.default_model()).withColumn("n_tokens", F.size("ids"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard_join", near_duplicates),
+    ("decontamination", decontaminated),
+    ("pii", without_personal_data),
+    ("sentencepiece", tokens),
+]
+
+#: Connected components, trained language models and token ids have no SQL form; see the tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "pipeline"), read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs
