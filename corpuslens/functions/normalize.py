@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, found, strip, sub, trim_of
+from .text import bound, col, found, strip, sub, trim_of
 
 # Fixed values, in the order of replacement: wrongly decoded characters of extracted text.
 MOJIBAKE = [
@@ -72,7 +72,7 @@ def normalize_title(c: str | Column) -> Column:
     c = strip(sub(c, SPACED_ABSTRACT + r"[\s\S]*$", "", "i"))
     c = strip(sub(c, r"\bAbstract\b[\s\S]*$", "", "i"))
     c = strip(sub(c, r"^Fig\.{0,2}\s*\d+\.{0,2}\s*", "", "i"))
-    return F.nullif(trim_of(sub(c, r"\s{2,}", " "), " -:\t"), F.lit(""))
+    return bound(trim_of(sub(c, r"\s{2,}", " "), " -:\t"), lambda t: F.nullif(t, F.lit("")))
 
 
 def sanitize_title(c: str | Column) -> Column:

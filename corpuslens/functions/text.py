@@ -17,6 +17,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c: Column, f) -> Column:
+    """f of c, where f names its argument more than once: c is evaluated once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def rx(pattern: str, flags: str = "") -> str:
     """flags: i (any case, Unicode), m (^ and $ at each line)."""
     return f"(?dU{flags.replace('i', 'iu')}){pattern}"

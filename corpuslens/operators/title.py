@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.normalize import is_spaced_abstract, normalize_title, sanitize_title
-from ..functions.text import any_of, col, count, found, full_lines, letters, lines, strip, sub, trim_of
+from ..functions.text import any_of, bound, col, count, found, full_lines, letters, lines, strip, sub, trim_of
 
 # The word lists of the heuristics.
 IGNORED_STARTS = ("article info", "keywords", "abstract", "contents", "received", "accepted", "available online")
@@ -79,12 +79,16 @@ def title_before_authors(row: Column, start: Column | int, stop: Column) -> Colu
 def block_before_authors(row: Column) -> Column:
     """Up to four lines right before the first author line of the first ninety."""
     text, author = row["line"], row["author"]
-    a = F.array_position(F.slice(author, 1, 90), True) - 1
-    ends = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.when((a - k < 0) | _at(row["stop"], (a - k).cast("int")), k - 1))
-    n = F.coalesce(F.array_min(F.filter(ends, lambda k: k.isNotNull())), F.lit(4))
-    block = F.slice(text, (a - n + 1).cast("int"), n)
-    block = F.when(found(_first(block), r"^(review|original|research)\s+article$", "i"), F.slice(block, 2, 4)).otherwise(block)
-    return F.when((a > 0) & (n > 0), F.nullif(F.array_join(block, " "), F.lit("")))
+
+    def up_to(a):
+        ends = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.when((a - k < 0) | _at(row["stop"], (a - k).cast("int")), k - 1))
+        n = F.coalesce(F.array_min(F.filter(ends, lambda k: k.isNotNull())), F.lit(4))
+        return bound(n, lambda n: F.when((a > 0) & (n > 0), F.slice(text, (a - n + 1).cast("int"), n)))
+
+    block = bound(F.array_position(F.slice(author, 1, 90), True) - 1, up_to)
+    kind = r"^(review|original|research)\s+article$"
+    block = bound(block, lambda b: F.when(found(_first(b), kind, "i"), F.slice(b, 2, 4)).otherwise(b))
+    return bound(F.array_join(block, " "), lambda t: F.nullif(t, F.lit("")))
 
 
 def document_title(c: str | Column) -> Column:
@@ -92,7 +96,7 @@ def document_title(c: str | Column) -> Column:
     all_lines = full_lines(c)
     head = F.slice(all_lines, 1, 140)
     low = F.lower
-    flags = F.struct(
+    flags = lambda head: F.struct(
         head.alias("line"),
         F.transform(head, is_title_like).alias("title"),
         F.transform(head, lambda s: ~is_boilerplate(s) & is_author_like(s)).alias("author"),
@@ -112,14 +116,14 @@ def document_title(c: str | Column) -> Column:
             F.get(row["line"], _first(few)),
         )
 
-    # a one-element array binds the flags once for all strategies
-    title = _first(F.transform(F.array(flags), pick))
+    # one-element arrays bind the lines once for all flags, and the flags once for all strategies
+    title = _first(F.transform(F.transform(F.array(head), flags), pick))
     title = sub(title, r"^(Review Article|Original Article|Research Article)\s*", "", "i")
     title = strip(sub(title, r"\bA\s*B\s*S\s*T\s*R\s*A\s*C\s*T\b[\s\S]*$", "", "i"))
     title = strip(sub(title, r"\bAbstract\b[\s\S]*$", "", "i"))
     title = strip(sub(title, r"\s+[A-Z][a-z]+\s+[A-Z]\.\.?$", ""))
     title = trim_of(sub(title, r"\s{2,}", " "), " -:\t")
-    return F.when(F.length(title) >= 12, title)
+    return bound(title, lambda t: F.when(F.length(t) >= 12, t))
 
 
 def first_page_title(c: str | Column) -> Column:
@@ -127,7 +131,7 @@ def first_page_title(c: str | Column) -> Column:
     all_lines = full_lines(c)
     author = lambda s: is_author_like(s, et_al=False)
     header = lambda s: any_of(F.lower(s), JOURNAL_HEADER) | F.endswith(F.lower(s), F.lit("journal"))
-    row = F.struct(all_lines.alias("line"), F.transform(F.slice(all_lines, 1, 35), header).alias("header"))
+    row = lambda x: F.struct(x.alias("line"), F.transform(F.slice(x, 1, 35), header).alias("header"))
 
     def pick(row: Column) -> Column:
         anchor = F.array_max(F.filter(F.transform(row["header"], lambda h, i: F.when(h, i)), lambda i: i.isNotNull()))
@@ -136,7 +140,7 @@ def first_page_title(c: str | Column) -> Column:
         own = F.filter(F.slice(after, 1, (a - 1).cast("int")), lambda s: (F.length(s) >= 8) & ~any_of(F.lower(s), (*JOURNAL_HEADER, "abstract", "keyword")))
         return F.when((a > 1) & (F.size(own) > 0), F.array_join(F.slice(own, 1, 3), " "))
 
-    return normalize_title(_first(F.transform(F.array(row), pick)))
+    return normalize_title(_first(F.transform(F.transform(F.array(all_lines), row), pick)))
 
 
 def is_bad_title(c: str | Column) -> Column:
