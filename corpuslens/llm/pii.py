@@ -118,7 +118,14 @@ SPELLED = re.compile(rf"\b{NAME}(?:[ \t]*[ ,-][ \t]*{NAME}){{2,}}\b", re.I)
 ONE_NAME = re.compile(NAME, re.I)
 AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@|arroba|chez)[ \t]*[\])}>][ \t]*", re.I)
 DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|\.|punto|point|punkt)[ \t]*[\])}>][ \t]*", re.I)
-SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+(?:dot|punto|punkt)[ \t]+(?=[A-Za-z0-9])", re.I)
+# Last labels that a spoken address may end in.
+ENDINGS = "com|org|net|edu|gov|info|biz|io|co|ai|dev|app|uk|us|eu|de|fr|es|it|nl|ch|at|be|pt|br|mx|ca|au|jp|cn|in|ru"
+# a spoken dot needs an ending within a few words, or digits on both sides
+SPOKEN_DOT = re.compile(
+    r"(?<=[A-Za-z0-9])[ \t]+(?:dot|punto|punkt)[ \t]+(?=(?:[A-Za-z0-9-]+(?:[ \t]+(?:dot|punto|punkt|at|arroba)[ \t]+|[.@])){0,6}(?:%s)\b)"
+    r"|(?<=[0-9])[ \t]+(?:dot|punto|punkt)[ \t]+(?=[0-9])" % ENDINGS,
+    re.I,
+)
 SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+(?:at|arroba)[ \t]+(?=[A-Za-z0-9-]+\.[A-Za-z])", re.I)
 SPOKEN_PLUS = re.compile(r"\bplus[ \t]+(?=[0-9])", re.I)
 HINT = re.compile(r"[\[({<][ \t]*(?:at|@|arroba|chez|dot|\.|punto|point|punkt)[ \t]*[\])}>]|[A-Za-z0-9][ \t]+(?:dot|punto|punkt)[ \t]+[A-Za-z0-9]", re.I)
