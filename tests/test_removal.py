@@ -18,7 +18,7 @@ from corpuslens.operators import removal as R
         (R.remove_references, "x" * 90 + "\nReferences\n[1]", "x" * 90),
         (R.remove_headers_footers, "a\nPage 3 of 9\nVol. 4 x\nb", "a\n\n\nb"),
         (R.remove_boilerplate, "a\nKeywords: x; y\nb", "a\n\nb"),
-        (R.remove_inline_noise, "a E-mail address: x y\nb", "a  \nb"),
+        (R.remove_inline_noise, "a E-mail addresses: x y\nb", "a  \nb"),
         (R.remove_noisy_lines, "keep\n me@x.org \n\nContents\nend", "keep\n\nend"),
         (R.remove_toc_lines, "1.2 Methods 12\nIntro ..... 3\nkeep 5\n", "keep 5"),
         (R.remove_dense_table_lines, "x /C2 y\nkeep", "keep"),
