@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +105,13 @@ class Library:
         return listed(latest(self.table("records"), ["id"], "updated_at"), self.table("points"))
 
     def of(self, name: str, article_id: str) -> DataFrame:
-        found = self.table(name).where(F.col("article_id") == article_id)
+        """One article's rows of a table; KeyError where there are none, or no such table yet."""
+        try:
+            found = self.table(name).where(F.col("article_id") == article_id)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise KeyError(f"no {name} of any article") from None
         if found.isEmpty():
             raise KeyError(f"no {name} of article {article_id}")
         return found
