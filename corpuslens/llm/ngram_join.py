@@ -11,16 +11,17 @@ k gives a filter, and only pairs that pass the filters of all orders reach verif
 2. The orders are (band, hash_k(token)): frequent tokens come last in each of them, so that a
    shared passage seldom reaches a prefix.  Any consistent order is lossless; the sketch only
    makes it selective.
-3. `postings`: (order, token) lists, streamed in order of set size.  Lists up to `dense` give
-   all pairs that the size filter leaves.  Longer lists give a star and a chain only, and their
-   members are kept as dense members.
+3. `postings`: (order, token) lists, streamed in order of set size.  A posting with up to `dense`
+   others in reach of the size filter is paired with them.  Of denser stretches, and of tokens
+   that stand out, only the members are kept; each is paired with a pivot of its list.
 4. Per pair, the common prefix tokens of each order are counted (dense lists that were not
    enumerated count as possible).  A pair stays if in every order count + longest suffix reaches
    the overlap needed: the filters are intersected here, before any set is moved.
 5. Surviving pairs are joined with the sets and verified; links give components.
-6. Dense lists that still join several components are the rest: their members are dealt to
-   blocks, and each pair of blocks that may hold a link across components is counted exactly by
-   a matrix product.  Blocks inside one component are skipped.
+6. Dense lists that still join several components are the rest: their members, unit by unit (what
+   lists connect if it is small, else one list), are dealt to blocks, and for each pair of blocks that may hold a link across components the common dense
+   keys are counted exactly by a matrix product, per order.  Blocks inside one component are
+   skipped.  The pairs that pass the filters of all orders are verified like the others.
 
 Defined results: null text, no words -> empty set, linked with nothing, component is the
 document itself.  Fewer words than the width -> the whole sequence is the one shingle.  A null
@@ -42,6 +43,7 @@ from .components import connected_components
 from .shared import Scratch, WordHashes, mixed, words_of
 
 SKETCH_BITS, SKETCH_PARTS, BANDS = 20, 16, 15
+HELD = 4096
 TO_INT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,13 +195,15 @@ def postings(docs: DataFrame, bands, width: int, percent: int, orders: int, salt
 def candidates(posted: DataFrame, percent: int, dense: int) -> DataFrame:
     """Streams the lists: rows (k, a, na, b, nb) are pairs, rows with b null are members of dense lists.
 
-    A partition holds whole lists, sorted by size; no list is ever held beyond `dense` postings.
+    A partition holds whole lists, sorted by size.  A posting whose size filter leaves up to `dense`
+    postings after it is paired with each; else it and they are members of a dense list.  No more
+    than HELD postings of one list are held: the members of a longer list are all dense.
     """
     schema = "k int, key long, salt int, a long, na long, b long, nb long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((4, 0), np.int64)
-        pivot = None  # of the dense list that goes on: key, salt, cls, n of the pivot, then of the last member
+        dense_at = None  # key and salt of the last dense list, which may go on
 
         def batch(k, key, salt, a, na, b, nb, none=None) -> pa.RecordBatch:
             out = [pa.array(k.astype(np.int32)), pa.array(key), pa.array(salt.astype(np.int32)), pa.array(a), pa.array(na)]
@@ -207,53 +211,41 @@ def candidates(posted: DataFrame, percent: int, dense: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(out, names=["k", "key", "salt", "a", "na", "b", "nb"])
 
         def done(x: np.ndarray, open_end: bool = False) -> Iterator[pa.RecordBatch]:
-            """Whole lists, except that the first may go on from `pivot`, and the last beyond x.
+            """Whole lists, except that the first may go on from the last dense list, and the last beyond x.
 
             A salted list is a part of a list, so it counts as dense at any length.
             """
-            nonlocal pivot
+            nonlocal dense_at
             if not x.shape[1]:
                 return
-            new = np.ones(x.shape[1], bool)
+            new = np.zeros(x.shape[1], bool)
             new[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
-            starts = np.flatnonzero(new)
-            size = np.diff(np.append(starts, x.shape[1]))
-            goes_on = pivot is not None and (pivot[0], pivot[1]) == (x[0, 0], x[1, 0])
-            thick = (size > dense) | (x[1, starts] > 0)
-            thick[0] |= goes_on
-            thick[-1] |= open_end
-            small = np.repeat(~thick, size)
-            y = x[:, small]
-            for d in range(1, dense):
-                if y.shape[1] <= d:
+            which = np.cumsum(new)
+            forced = x[1] > 0
+            if dense_at == (x[0, 0], x[1, 0]):
+                forced |= which == 0
+            if open_end:
+                forced |= which == which[-1]
+                dense_at = (x[0, -1], x[1, -1])
+            # the window of a posting: those after it in its list that the size filter leaves
+            place = np.arange(x.shape[1])
+            end = np.searchsorted((which << 32) + x[3], (which << 32) + 100 * x[3] // percent, "right")
+            window = end - place - 1
+            over = (window > dense) & ~forced
+            marks = np.zeros(x.shape[1] + 1, np.int64)
+            np.add.at(marks, place[over], 1)
+            np.add.at(marks, end[over], -1)
+            member = forced | (np.cumsum(marks[:-1]) > 0)
+            z = x[:, member]
+            yield batch(z[0] & 3, z[0], z[1], z[2], z[3], z[2], z[3], np.ones(z.shape[1], bool))
+            for d in range(1, dense + 1):
+                first = place[(window >= d) & (window <= dense) & ~forced]
+                if not len(first):
                     break
-                p, q = y[:, :-d], y[:, d:]
-                m = (p[0] == q[0]) & (p[1] == q[1])
-                if not m.any():
-                    break
-                m &= (100 * p[3] >= percent * q[3]) & (p[2] != q[2])
-                p, q = p[:, m], q[:, m]
+                p, q = x[:, first], x[:, first + d]
                 flip = p[2] > q[2]
                 a, na, b, nb = np.where(flip, q[2], p[2]), np.where(flip, q[3], p[3]), np.where(flip, p[2], q[2]), np.where(flip, p[3], q[3])
                 yield batch(p[0] & 3, p[0], p[1], a, na, b, nb)
-            for i in np.flatnonzero(thick):
-                z = x[:, starts[i] : starts[i] + size[i]]
-                yield batch(z[0] & 3, z[0], z[1], z[2], z[3], z[2], z[3], np.ones(z.shape[1], bool))
-                out = []
-                for key, salt, c, n in z.T.tolist():
-                    if pivot is None or (pivot[0], pivot[1]) != (key, salt) or 100 * pivot[3] < percent * n:
-                        if pivot is not None and (pivot[0], pivot[1]) == (key, salt) and 100 * pivot[5] >= percent * n:
-                            out.append((key, salt, pivot[4], pivot[5], c, n))
-                        pivot = [key, salt, c, n, c, n]
-                        continue
-                    out.append((key, salt, pivot[2], pivot[3], c, n))
-                    if pivot[4] != pivot[2]:
-                        out.append((key, salt, pivot[4], pivot[5], c, n))
-                    pivot[4:] = [c, n]
-                if out:
-                    key, salt, a, na, b, nb = np.array(out, np.int64).T
-                    flip = a > b
-                    yield batch(key & 3, key, salt, np.where(flip, b, a), np.where(flip, nb, na), np.where(flip, a, b), np.where(flip, na, nb))
 
         for rb in batches:
             x = np.stack([rb.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
@@ -265,7 +257,7 @@ def candidates(posted: DataFrame, percent: int, dense: int) -> DataFrame:
             if not x.shape[1]:
                 continue
             tail = int(np.flatnonzero((x[0] == x[0, -1]) & (x[1] == x[1, -1]))[0])
-            if x.shape[1] - tail > dense:  # goes on as a dense list; the last member stays, for repeats
+            if x.shape[1] - tail > HELD:  # goes on as a dense list; the last member stays, for repeats
                 tail = x.shape[1] - 1
                 yield from done(x[:, :tail], True)
             else:
@@ -278,21 +270,11 @@ def candidates(posted: DataFrame, percent: int, dense: int) -> DataFrame:
 
 
 def surviving(found: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(a, na, b, nb) of the pairs that the filters of all orders let through.
-
-    The heads of a salted list's parts are paired with the smallest head, besides what is found.
-    """
+    """(a, na, b, nb) of the pairs that the filters of all orders let through."""
     hot = found.where("b is null").groupBy("a", "na").agg(
         *[F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"h{k}") for k in range(orders)]
     )
-    parts = found.where("b is null and salt > 0").groupBy("k", "key", "salt").agg(F.min(F.struct("na", "a")).alias("p"))
-    heads = parts.groupBy("k", "key").agg(F.min("p").alias("q"))
-    parts = parts.join(heads, ["k", "key"]).where((F.col("p.a") != F.col("q.a")) & (100 * F.col("q.na") >= percent * F.col("p.na")))
-    side = lambda f, of: f(F.struct("p.a", "p.na"), F.struct("q.a", "q.na"))[of]
-    parts = parts.select(
-        "k", "key", "salt", side(F.least, "a").alias("a"), side(F.least, "na").alias("na"), side(F.greatest, "a").alias("b"), side(F.greatest, "na").alias("nb")
-    )
-    pairs = found.where("b is not null").unionByName(parts).dropDuplicates(["k", "key", "a", "na", "b", "nb"]).groupBy("a", "na", "b", "nb").agg(
+    pairs = found.where("b is not null").dropDuplicates(["k", "key", "a", "na", "b", "nb"]).groupBy("a", "na", "b", "nb").agg(
         *[F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"c{k}") for k in range(orders)]
     )
     of = lambda x: hot.select(
@@ -366,93 +348,111 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def block_links(tagged: DataFrame, percent: int) -> DataFrame:
-    """(u, v) that join the components of one pair of blocks: a spanning set of the links across them.
+def across(tagged: DataFrame, percent: int, orders: int) -> DataFrame:
+    """(u, v) of the pairs of different components that one pair of blocks of a unit leaves.
 
-    tagged: (comm, i, kind, j, id, label, tokens).  Overlaps are a matrix product over the tokens
-    that two members share, in strips of tokens, so memory is bounded by the block size.
+    tagged: (by_key, unit, about, i, kind, j, id, n, label, keys), where keys are all dense keys of
+    the member.  A pair that shares no enumerated list shares exactly its common dense keys, so
+    these decide the filters of all orders.  Where units are dense lists, a pair is emitted by its
+    smallest common key only.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-        ids, one = np.unique(ids, return_index=True)
-        labels = labels[one]
-        sets = [np.frombuffer(table.column("tokens")[int(i)].as_buffer(), np.uint64) for i in one]
-        n = np.array([len(s) for s in sets])
-        tokens, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), n)
-        shared = np.flatnonzero(df > 1)
-        column = np.full(len(tokens), -1)
-        column[shared] = np.arange(len(shared))
-        column = column[at]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for lo in range(0, len(shared), 4096):
-            hit = (column >= lo) & (column < lo + 4096)
-            strip = np.zeros((len(sets), min(4096, len(shared) - lo)), np.float32)
-            strip[owner[hit], column[hit] - lo] = 1
-            both += strip @ strip.T
-        both = both.astype(np.int64)
-        link = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (labels[:, None] != labels[None, :])
-        parent = {x: x for x in labels.tolist()}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        out = []
-        for i, j in zip(*np.nonzero(np.triu(link)), strict=True):
-            p, q = root(int(labels[i])), root(int(labels[j]))
-            if p != q:
-                parent[p] = q
-                out.append((int(ids[i]), int(ids[j])))
-        u, v = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return tagged.groupBy("comm", "i", "kind", "j").applyInArrow(run, "u long, v long")
-
-
-def dense_rest(found, reps, labels, docs, spark, scratch: Scratch, percent: int, width: int, block: int) -> DataFrame | None:
-    """(u, v) links between components that dense lists still join, or None where there are none."""
-    members = found.where("b is null and k = 0").select("key", F.col("a").alias("cls"), F.col("na").alias("n")).distinct()
-    members = (
-        members.join(reps, ["cls", "n"])
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", F.col("rep").alias("id"), F.coalesce("label", "rep").alias("label"))
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, one = np.unique(table.column("id").to_numpy(), return_index=True)
+        n, labels = table.column("n").to_numpy()[one], table.column("label").to_numpy()[one]
+        lists = [np.sort(table.column("keys")[int(i)].values.to_numpy()) for i in one]
+        flat = np.concatenate(lists)
+        values, at = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+        need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
+        least = np.maximum(1, need - (-(-percent * large // 100) - 1))
+        left = (labels[:, None] != labels[None, :]) & (100 * small >= percent * large)
+        for k in range(orders):
+            own = np.flatnonzero((values & 3) == k)
+            column = np.full(len(values), -1)
+            column[own] = np.arange(len(own))
+            column = column[at]
+            both = np.zeros(left.shape, np.float32)
+            for lo in range(0, len(own), 4096):
+                hit = (column >= lo) & (column < lo + 4096)
+                strip = np.zeros((len(lists), min(4096, len(own) - lo)), np.float32)
+                strip[owner[hit], column[hit] - lo] = 1
+                both += strip @ strip.T
+            left &= both >= least
+        by_key, here, us, vs = key[0].as_py(), key[1].as_py(), [], []
+        for a, b in zip(*np.nonzero(np.triu(left)), strict=True):
+            x, y = lists[a], lists[b]
+            if not by_key or min(v for v in np.intersect1d(x, y, assume_unique=True) if v & 3 == 0) == here:
+                us.append(int(ids[a]))
+                vs.append(int(ids[b]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return tagged.groupBy("by_key", "unit", "about", "i", "kind", "j").applyInArrow(run, "u long, v long")
+
+
+def dense_members(found: DataFrame, reps: DataFrame) -> DataFrame:
+    """(k, key, id, n): the members of the dense lists."""
+    dense = found.where("b is null").select("k", "key", F.col("a").alias("cls"), F.col("na").alias("n")).distinct()
+    return dense.join(reps.select("cls", "n", F.col("rep").alias("id")), ["cls", "n"]).select("k", "key", "id", "n")
+
+
+def stars(dense: DataFrame, percent: int) -> DataFrame:
+    """(u, v): each member of a dense list with the list's pivot of about its size.
+
+    The pivot is the member in most dense lists: the nearer a copy is to what all share, the fewer
+    tokens of its own fill its prefix.
+    """
+    dense = dense.where("k = 0")
+    dense = dense.join(dense.groupBy("id").agg(F.count("*").alias("lists")), "id")
+    dense = dense.withColumn("about", F.floor(F.log("n") / (-2 * F.log(F.lit(percent / 100)))))
+    pivots = dense.groupBy("key", "about").agg(F.max_by(F.struct("id", "n"), F.struct("lists", F.negative("id"))).alias("p"))
+    pairs = dense.join(pivots, ["key", "about"]).where(
+        (F.col("id") != F.col("p.id")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
     )
-    members = scratch.save(members, "dense")
-    still = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("id").alias("head")).where("l <> m")
-    still = members.join(still.select("key", "head"), "key").select("id", "label", "head").distinct()
-    still = scratch.save(still, "open")
+    return pairs.select(F.least("id", "p.id").alias("u"), F.greatest("id", "p.id").alias("v")).distinct()
+
+
+def dense_rest(dense: DataFrame, labels: DataFrame, scratch: Scratch, percent: int, orders: int, block: int) -> DataFrame | None:
+    """(u, v): candidate pairs across the components that dense lists still join, or None."""
+    dense = dense.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    dense = scratch.save(dense.select("k", "key", "id", "n", "label"), "labelled")
+    # a pair that links is in one size class or in two neighbouring ones: each member is in its own and the next
+    about = F.floor(F.log("n") / (-F.log(F.lit(percent / 100)))).cast("int")
+    own = dense.where("k = 0").select("key", F.explode(F.array(about, about + 1)).alias("about"), "id", "n", "label")
+    mixed_lists = own.groupBy("key", "about").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("id").alias("head")).where("l <> m")
+    still = scratch.save(own.join(mixed_lists.select("key", "about", "head"), ["key", "about"]), "still")
     if still.isEmpty():
         return None
-    comm = connected_components(
-        still.select(F.col("id").alias("u"), F.col("head").alias("v")).unionByName(still.select(F.col("id").alias("u"), F.col("label").alias("v"))),
-        scratch, "communities",
-    ).withColumnsRenamed({"node": "id", "label": "comm"})
-    still = scratch.save(still.select("id", "label").distinct().join(comm, "id"), "members")
-    per = still.groupBy("comm", "label").count()
-    main = per.groupBy("comm").agg(
-        F.max_by("label", F.struct("count", F.negative("label"))).alias("main"), F.max("count").alias("many"), F.sum("count").alias("all")
+    # members that lists connect are one unit if there are few of them, and then sent once; else each list is a unit
+    units = connected_components(still.select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), scratch, "units")
+    units = units.withColumnsRenamed({"node": "id", "label": "unit"})
+    few = units.groupBy("unit").count().where(F.col("count") <= 8 * block).drop("count")
+    units = units.join(few, "unit").select("id", "unit")
+    still = still.join(units, "id", "left").select(
+        F.col("unit").isNull().alias("by_key"), F.coalesce("unit", "key").alias("unit"), F.when(F.col("unit").isNull(), F.col("about")).otherwise(0).alias("about"), "id", "n", "label"
     )
-    still = still.join(main, "comm").where("all > many").withColumns(
+    still = scratch.save(still.distinct(), "open")
+    unit = ["by_key", "unit", "about"]
+    per = still.groupBy(*unit, "label").count()
+    lists = per.groupBy(*unit).agg(F.max_by("label", F.struct("count", F.negative("label"))).alias("main"), F.max("count").alias("many"), F.sum("count").alias("all"))
+    still = still.join(lists.where("all > many"), unit).withColumns(
         {
-            "minors": F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("many")) / block)).cast("int"),
-            "majors": F.greatest(F.lit(1), F.ceil(F.col("many") / block)).cast("int"),
+            "minors": F.ceil((F.col("all") - F.col("many")) / block).cast("int"),
+            "majors": F.ceil(F.col("many") / block).cast("int"),
             "minor": F.col("label") != F.col("main"),
         }
     )
     still = still.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
-    keys = F.expr(
+    blocks = F.expr(
         """if(minor,
               concat(transform(sequence(0, minors - 1), x -> struct(least(x, mine) as i, 0 as kind, greatest(x, mine) as j)),
                      transform(sequence(0, majors - 1), x -> struct(mine as i, 1 as kind, x as j))),
               transform(sequence(0, minors - 1), x -> struct(x as i, 1 as kind, mine as j)))"""
     )
-    bloom = spark.sparkContext.broadcast(bloom_of(still.select("id")))
-    sets = sets_of(docs, bloom, width).dropDuplicates(["id"])
-    tagged = still.join(sets, "id").select("comm", F.inline(keys), "id", "label", "tokens")
-    return block_links(tagged, percent)
+    keys = dense.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    tagged = still.join(keys, "id").select(*unit, F.inline(blocks), "id", "n", "label", "keys")
+    return across(tagged, percent, orders).distinct()
 
 
 def jaccard_components(
@@ -474,17 +474,24 @@ def jaccard_components(
     found = scratch.save(candidates(postings(docs.where("doc_id is not null"), bands, width, percent, orders, salts), percent, dense), "found")
     to = lambda x: reps.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("rep").alias("u" if x == "a" else "v"))
     pairs = surviving(found, percent, orders).join(to("a"), ["a", "na"]).join(to("b"), ["b", "nb"])
-    pairs = scratch.save(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
-    bloom = spark.sparkContext.broadcast(bloom_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
-    links = scratch.save(verified(pairs, sets_of(docs, bloom, width), percent).distinct(), "links")
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v")
+    dense_lists = scratch.save(dense_members(found, reps), "dense")
+    pairs = scratch.save(pairs.unionByName(stars(dense_lists, percent)).distinct(), "pairs")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        bloom = spark.sparkContext.broadcast(bloom_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
+        return verified(pairs, sets_of(docs, bloom, width), percent).distinct()
+
+    links = scratch.save(links_of(pairs), "links")
     labels = connected_components(links, scratch, "first")
-    more = dense_rest(found, reps, labels, docs, spark, scratch, percent, width, block)
-    if more is not None:
-        labels = connected_components(links.unionByName(scratch.save(more, "more")), scratch, "all")
-    found = rows.join(reps, ["cls", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select(
+    rest = dense_rest(dense_lists, labels, scratch, percent, orders, block)
+    if rest is not None:
+        links = scratch.save(links.unionByName(links_of(scratch.save(rest, "rest"))), "all-links")
+        labels = connected_components(links, scratch, "all")
+    out = rows.join(reps, ["cls", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("label", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
     )
