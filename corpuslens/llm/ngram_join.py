@@ -43,7 +43,7 @@ from .components import connected_components
 from .shared import Scratch, WordHashes, mixed, words_of
 
 SKETCH_BITS, SKETCH_PARTS, BANDS = 20, 16, 15
-HELD = 4096
+HELD, HELD_PAIRS = 4096, 500_000
 TO_INT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,22 +193,39 @@ def postings(docs: DataFrame, bands, width: int, percent: int, orders: int, salt
 
 
 def candidates(posted: DataFrame, percent: int, dense: int) -> DataFrame:
-    """Streams the lists: rows (k, a, na, b, nb) are pairs, rows with b null are members of dense lists.
+    """Streams the lists: rows (k, a, na, b, nb, c) are pairs with c common tokens under order k,
+    counted in the task already; rows with b null are members of dense lists.
 
     A partition holds whole lists, sorted by size.  A posting whose size filter leaves up to `dense`
     postings after it is paired with each; else it and they are members of a dense list.  No more
     than HELD postings of one list are held: the members of a longer list are all dense.
     """
-    schema = "k int, key long, salt int, a long, na long, b long, nb long"
+    schema = "k int, key long, salt int, a long, na long, b long, nb long, c long"
+    names = ["k", "key", "salt", "a", "na", "b", "nb", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((4, 0), np.int64)
         dense_at = None  # key and salt of the last dense list, which may go on
+        pairs: list[np.ndarray] = []
 
-        def batch(k, key, salt, a, na, b, nb, none=None) -> pa.RecordBatch:
-            out = [pa.array(k.astype(np.int32)), pa.array(key), pa.array(salt.astype(np.int32)), pa.array(a), pa.array(na)]
-            out += [pa.array(b, mask=none), pa.array(nb, mask=none)]
-            return pa.RecordBatch.from_arrays(out, names=["k", "key", "salt", "a", "na", "b", "nb"])
+        def members(z: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(z.shape[1], pa.int64())
+            k, salt = (z[0] & 3).astype(np.int32), z[1].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(z[0]), pa.array(salt), pa.array(z[2]), pa.array(z[3]), none, none, none], names=names)
+
+        def counted(least: int) -> Iterator[pa.RecordBatch]:
+            """The pairs so far, each with its number of common tokens, once there are `least` of them."""
+            nonlocal pairs
+            if sum(x.shape[1] for x in pairs) < least:
+                return
+            x = np.concatenate(pairs, axis=1)
+            pairs = []
+            x = x[:, np.lexsort((x[3], x[1], x[0]))]
+            first = np.flatnonzero(np.concatenate([[True], (x[:, 1:] != x[:, :-1]).any(axis=0)]))
+            k, a, na, b, nb = x[:, first]
+            c = np.diff(np.append(first, x.shape[1]))
+            none, n = pa.nulls, len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), none(n, pa.int64()), none(n, pa.int32()), *map(pa.array, (a, na, b, nb, c))], names=names)
 
         def done(x: np.ndarray, open_end: bool = False) -> Iterator[pa.RecordBatch]:
             """Whole lists, except that the first may go on from the last dense list, and the last beyond x.
@@ -236,8 +253,7 @@ def candidates(posted: DataFrame, percent: int, dense: int) -> DataFrame:
             np.add.at(marks, place[over], 1)
             np.add.at(marks, end[over], -1)
             member = forced | (np.cumsum(marks[:-1]) > 0)
-            z = x[:, member]
-            yield batch(z[0] & 3, z[0], z[1], z[2], z[3], z[2], z[3], np.ones(z.shape[1], bool))
+            yield members(x[:, member])
             for d in range(1, dense + 1):
                 first = place[(window >= d) & (window <= dense) & ~forced]
                 if not len(first):
@@ -245,7 +261,8 @@ def candidates(posted: DataFrame, percent: int, dense: int) -> DataFrame:
                 p, q = x[:, first], x[:, first + d]
                 flip = p[2] > q[2]
                 a, na, b, nb = np.where(flip, q[2], p[2]), np.where(flip, q[3], p[3]), np.where(flip, p[2], q[2]), np.where(flip, p[3], q[3])
-                yield batch(p[0] & 3, p[0], p[1], a, na, b, nb)
+                pairs.append(np.stack([p[0] & 3, a, na, b, nb]))
+            yield from counted(HELD_PAIRS)
 
         for rb in batches:
             x = np.stack([rb.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
@@ -264,6 +281,7 @@ def candidates(posted: DataFrame, percent: int, dense: int) -> DataFrame:
                 yield from done(x[:, :tail])
             held = x[:, tail:]
         yield from done(held)
+        yield from counted(1)
 
     ordered = posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "cls")
     return ordered.mapInArrow(run, schema)
@@ -274,8 +292,8 @@ def surviving(found: DataFrame, percent: int, orders: int) -> DataFrame:
     hot = found.where("b is null").groupBy("a", "na").agg(
         *[F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"h{k}") for k in range(orders)]
     )
-    pairs = found.where("b is not null").dropDuplicates(["k", "key", "a", "na", "b", "nb"]).groupBy("a", "na", "b", "nb").agg(
-        *[F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"c{k}") for k in range(orders)]
+    pairs = found.where("b is not null").groupBy("a", "na", "b", "nb").agg(
+        *[F.sum(F.when(F.col("k") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(orders)]
     )
     of = lambda x: hot.select(
         F.col("a").alias(x), F.col("na").alias(f"n{x}"), *[F.col(f"h{k}").alias(f"h{x}{k}") for k in range(orders)]
