@@ -26,23 +26,31 @@ def words_in(s: Column) -> Column:
     return count(s, r"\S+")
 
 
+def names_any(s: Column, tokens: tuple[str, ...], starts: tuple[str, ...] = ()) -> Column:
+    """Whether the lower-cased s has one of the tokens, or begins with one of `starts`; lower-cased once."""
+
+    def tests(low):
+        out = any_of(low, tokens)
+        for p in starts:
+            out = out | F.startswith(low, F.lit(p))
+        return out
+
+    return bound(F.lower(s), tests)
+
+
 def is_boilerplate(s: Column) -> Column:
-    low = F.lower(s)
-    out = any_of(low, BLOCKED)
-    for p in IGNORED_STARTS:
-        out = out | F.startswith(low, F.lit(p))
-    return out
+    return names_any(s, BLOCKED, IGNORED_STARTS)
 
 
 def is_title_like(s: Column) -> Column:
-    low = F.lower(s)
     commas = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
+    # the length comes first: long lines need none of the other tests
     return (
-        ~is_boilerplate(s)
-        & ~F.contains(F.concat(F.lit(" "), low, F.lit(" ")), F.lit(" abstract "))
+        F.length(s).between(20, 220)
+        & ~is_boilerplate(s)
+        & ~names_any(F.concat(F.lit(" "), s, F.lit(" ")), (" abstract ",))
         & ~is_spaced_abstract(s)
-        & ~any_of(low, (" keyword", "fig."))
-        & F.length(s).between(20, 220)
+        & ~names_any(s, (" keyword", "fig."))
         & ~F.endswith(s, F.lit(":"))
         & (commas < 2)
         & (letters(s) >= 12)
@@ -52,9 +60,8 @@ def is_title_like(s: Column) -> Column:
 
 def is_author_like(s: Column, marks: tuple[str, ...] = (",", "*", "∗"), et_al: bool = True) -> Column:
     """Two name-like chunks and a sign of a list of names."""
-    low = F.lower(s)
-    marked = any_of(s, marks) | (F.contains(low, F.lit(" et al")) if et_al else F.lit(False))
-    return ~any_of(low, NOT_AUTHORS) & (count(s, r"\b[A-Z][a-z]+(?:\s+[A-Z]\.)?") >= 2) & marked
+    marked = any_of(s, marks) | (names_any(s, (" et al",)) if et_al else F.lit(False))
+    return marked & ~names_any(s, NOT_AUTHORS) & (count(s, r"\b[A-Z][a-z]+(?:\s+[A-Z]\.)?") >= 2)
 
 
 def _at(array: Column, i: Column | int) -> Column:
@@ -95,13 +102,12 @@ def document_title(c: str | Column) -> Column:
     """The likeliest title in a document's first lines, or null."""
     all_lines = full_lines(c)
     head = F.slice(all_lines, 1, 140)
-    low = F.lower
     flags = lambda head: F.struct(
         head.alias("line"),
         F.transform(head, is_title_like).alias("title"),
-        F.transform(head, lambda s: ~is_boilerplate(s) & is_author_like(s)).alias("author"),
-        F.transform(head, lambda s: is_boilerplate(s) | any_of(low(s), AFFILIATION) | any_of(low(s), ("keyword", "abstract"))).alias("stop"),
-        F.transform(head, lambda s: any_of(low(s), JOURNAL_HEADER)).alias("header"),
+        F.transform(head, lambda s: is_author_like(s) & ~is_boilerplate(s)).alias("author"),
+        F.transform(head, lambda s: names_any(s, (*BLOCKED, *AFFILIATION, "keyword", "abstract"), IGNORED_STARTS)).alias("stop"),
+        F.transform(head, lambda s: names_any(s, JOURNAL_HEADER)).alias("header"),
         F.transform(head, words_in).alias("words"),
     )
 
@@ -130,14 +136,14 @@ def first_page_title(c: str | Column) -> Column:
     """The lines between a journal's header and the authors on a first page, or null."""
     all_lines = full_lines(c)
     author = lambda s: is_author_like(s, et_al=False)
-    header = lambda s: any_of(F.lower(s), JOURNAL_HEADER) | F.endswith(F.lower(s), F.lit("journal"))
+    header = lambda s: names_any(s, JOURNAL_HEADER) | F.endswith(F.lower(s), F.lit("journal"))
     row = lambda x: F.struct(x.alias("line"), F.transform(F.slice(x, 1, 35), header).alias("header"))
 
     def pick(row: Column) -> Column:
         anchor = F.array_max(F.filter(F.transform(row["header"], lambda h, i: F.when(h, i)), lambda i: i.isNotNull()))
         after = F.slice(row["line"], anchor + 2, 29)
         a = F.array_position(F.transform(after, author), True)
-        own = F.filter(F.slice(after, 1, (a - 1).cast("int")), lambda s: (F.length(s) >= 8) & ~any_of(F.lower(s), (*JOURNAL_HEADER, "abstract", "keyword")))
+        own = F.filter(F.slice(after, 1, (a - 1).cast("int")), lambda s: (F.length(s) >= 8) & ~names_any(s, (*JOURNAL_HEADER, "abstract", "keyword")))
         return F.when((a > 1) & (F.size(own) > 0), F.array_join(F.slice(own, 1, 3), " "))
 
     return normalize_title(_first(F.transform(F.transform(F.array(all_lines), row), pick)))
