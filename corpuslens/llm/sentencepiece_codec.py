@@ -168,7 +168,7 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if m.escape_whitespace else text
 
-    def encode(self, texts: list[str | None], most: int = 300_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], most: int = 50_000) -> list[np.ndarray]:
         """Ids per text; segments that are new in this call are encoded in one batch."""
         cut = [self.cut.findall(self.normalized(t)) if t else [] for t in texts]
         known = self.known
@@ -198,13 +198,24 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+_LAST: dict[bytes, Codec] = {}
+
+
+def codec_of(data: bytes) -> Codec:
+    """The worker's codec of a model: one at a time, kept from task to task."""
+    if data not in _LAST:
+        _LAST.clear()
+        _LAST[data] = Codec(data)
+    return _LAST[data]
+
+
 def _transform(docs: DataFrame, model_path: str, schema: T.StructType, columns: list[str], rows, batch: int) -> DataFrame:
     """Maps batches through rows(codec, columns of the batch); the model travels as a broadcast."""
     with open(model_path, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        codec = Codec(data.value)
+        codec = codec_of(data.value)
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
