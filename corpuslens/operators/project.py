@@ -99,11 +99,87 @@ def tsne_layout(x: np.ndarray, perplexity: float, iterations: int = 600, patienc
     return y - y.mean(0)
 
 
+def blocks(n: int, cells: int = 1 << 18):
+    """Slices of rows, such that a block of them against all n rows has about so many cells."""
+    step = max(1, cells // n)
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
+def neighbour_affinities(x: np.ndarray, perplexity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, p), sorted by i: symmetric affinities of each row and its 3 * perplexity nearest rows, as Barnes-Hut t-SNE has them."""
+    n = len(x)
+    k = min(n - 1, int(3 * perplexity + 1))
+    near, d, norm = np.empty((n, k), np.int64), np.empty((n, k)), (x * x).sum(1)
+    for rows in blocks(n):
+        far = norm[rows, None] + norm - 2 * x[rows] @ x.T
+        far[np.arange(len(far)), np.arange(n)[rows]] = np.inf
+        near[rows] = np.argpartition(far, k - 1, axis=1)[:, :k]
+        d[rows] = np.maximum(np.take_along_axis(far, near[rows], 1), 0)
+    d -= d.min(1, keepdims=True)
+    low, high, beta = np.zeros(n), np.full(n, np.inf), np.ones(n)
+    for _ in range(50):
+        e = np.exp(-d * beta[:, None])
+        q = e / e.sum(1, keepdims=True)
+        wide = -(q * np.log(np.maximum(q, 1e-300))).sum(1) > math.log(perplexity)
+        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+        beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
+    i = np.repeat(np.arange(n), k)
+    key, at = np.unique(np.concatenate([i * n + near.ravel(), near.ravel() * n + i]), return_inverse=True)
+    return key // n, key % n, np.bincount(at, np.tile(q.ravel(), 2)) / (2 * n)
+
+
+def repulsion(y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(sum of w^2 (y_i - y_j) over j, sum of w over all pairs), w = 1 / (1 + squared distance): every pair, block by block."""
+    n = len(y)
+    z = (y - y.mean(0)).astype(np.float32)
+    norm, one = (z * z).sum(1, keepdims=True), np.ones((n, 1), np.float32)
+    left, right, sums = np.hstack([-2 * z, norm, one]), np.hstack([z, one, norm]).T, np.hstack([one, z])
+    force, total = np.empty((n, 2)), 0.0
+    for rows in blocks(n):
+        w = left[rows] @ right
+        np.maximum(w, 0, out=w)
+        w += 1
+        np.reciprocal(w, out=w)
+        w[np.arange(len(w)), np.arange(n)[rows]] = 0
+        total += float(w.sum(dtype=np.float64))
+        np.square(w, out=w)
+        got = w @ sums
+        force[rows] = got[:, :1] * z[rows] - got[:, 1:]
+    return force, total
+
+
+def tsne_layout_large(x: np.ndarray, perplexity: float, iterations: int = 600, patience: int = 200, seed: int = 42) -> np.ndarray:
+    """tsne_layout() without a square matrix: affinities of nearest rows, exact repulsion in blocks."""
+    n = len(x)
+    i, j, p = neighbour_affinities(x, perplexity)
+    y = x[:, :2] / max(x[:, 0].std(), 1e-12) * 1e-4
+    y = y + np.random.default_rng(seed).normal(0, 1e-6, y.shape)
+    step, gain, speed = max(n / 12 / 4, 50.0), np.ones_like(y), np.zeros_like(y)
+    best, since = np.inf, 0
+    for it in range(iterations):
+        early = 12.0 if it < 250 else 1.0
+        d = y[i] - y[j]
+        w = 1 / (1 + (d * d).sum(1))
+        pull = (p * w)[:, None] * d
+        pull = np.stack([np.bincount(i, pull[:, c], n) for c in (0, 1)], 1)
+        push, total = repulsion(y)
+        grad = 4 * (early * pull - push / total)
+        gain = np.maximum(np.where(np.sign(grad) == np.sign(speed), gain * 0.8, gain + 0.2), 0.01)
+        speed = (0.5 if it < 250 else 0.8) * speed - step * gain * grad
+        y = y + speed
+        if it >= 250 and it % 50 == 0:
+            cost = (p * np.log(np.maximum(p, 1e-12) / np.maximum(w / total, 1e-12))).sum()
+            best, since = (cost, it) if cost < best else (best, since or it)
+            if it - since >= patience:
+                break
+    return y - y.mean(0)
+
+
 def tsne_points(df: DataFrame, vector: str, article: str, id_col: str, most: int = 500) -> DataFrame:
-    """df's article, id with x, y: t-SNE per article; articles of over `most` rows get PCA instead.
+    """df's article, id with x, y: t-SNE per article, exact up to `most` rows.
 
     Each article is one task.  What an article may hold is bounded by its paragraphs; an article
-    of over `most` rows is projected without any square matrix of its rows.
+    of over `most` rows has affinities of nearest rows only, and no square matrix of its rows.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,7 +194,7 @@ def tsne_points(df: DataFrame, vector: str, article: str, id_col: str, most: int
             u, w, _ = np.linalg.svd(x, full_matrices=False)
             x = (u * w)[:, : min(30, n - 1)]
             x = x if x.shape[1] > 1 else np.pad(x, ((0, 0), (0, 1)))
-            y = x[:, :2] if n > most else tsne_layout(x, min(5, n - 1))
+            y = (tsne_layout if n <= most else tsne_layout_large)(x, min(5, n - 1))
         return pd.DataFrame({article: pdf[article], id_col: pdf[id_col], "x": y[:, 0], "y": y[:, 1]})
 
     kept = df.select(article, id_col, vector)

@@ -229,7 +229,7 @@ def pca_2d(spark, sf):
 @query()
 def tsne_2d(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return project.tsne_points(e, "embedding", "label", "vec_id", most=120)
+    return project.tsne_points(e, "embedding", "label", "vec_id")
 
 
 @query("""

@@ -125,6 +125,31 @@ def test_tsne_keeps_clusters(spark):
     assert P.tsne_points(df.where("id = 0"), "v", "a", "id").select("x", "y").first() == (0.0, 0.0)
 
 
+def test_tsne_of_a_large_article(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 4, (12, 8))
+    x = np.concatenate([rng.normal(c, 0.1, (50, 8)) for c in centres])
+    df = spark.createDataFrame([(1, i, r.tolist()) for i, r in enumerate(x)], "a int, id int, v array<double>")
+    y = np.array([[r["x"], r["y"]] for r in P.tsne_points(df, "v", "a", "id").orderBy("id").collect()])
+    first = np.array([[r["x"], r["y"]] for r in P.pca_points(df, "v").orderBy("id").collect()])
+    assert len(y) == 600 and not np.allclose(np.abs(y), np.abs(first), atol=1e-3)
+    near = [np.argsort(((y - p) ** 2).sum(1))[1:6] // 50 for p in y]
+    assert sum((n == i // 50).all() for i, n in enumerate(near)) >= 580
+    # far apart beyond what a linear projection gives: local neighbours are kept, too
+    true = [set(np.argsort(((x - p) ** 2).sum(1))[1:6]) for p in x]
+    kept = lambda z: sum(len(t & set(np.argsort(((z - z[i]) ** 2).sum(1))[1:6])) for i, t in enumerate(true))
+    assert kept(y) > kept(first)
+
+
+def test_block_repulsion_is_the_exact_one():
+    y = np.random.default_rng(2).normal(0, 20, (700, 2))
+    d = y[:, None] - y[None]
+    w = 1 / (1 + (d * d).sum(-1))
+    np.fill_diagonal(w, 0)
+    force, total = P.repulsion(y)
+    assert abs(total / w.sum() - 1) < 1e-4 and np.allclose(force, ((w * w)[..., None] * d).sum(1), atol=1e-3)
+
+
 def test_extent_and_nearest(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0), (1, 1.0, 2.0), (2, None, 9.0)], "id int, x double, y double")
     assert tuple(P.axis_extent(df).first()) == (0.0, 1.0, 2.0, 9.0)
