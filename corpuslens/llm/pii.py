@@ -4,7 +4,7 @@ Plain detectors run on the source text.  Then transducers rewrite the text: homo
 invisible characters away, spelled digits to digits, bracketed or spelled at / dot / plus to their
 signs.  Each keeps, per character of its output, the source span it came from, so that what the
 same detectors find in the rewritten text maps back to the source.  Such a span is added if no
-plain span of its kind overlaps it.
+plain span of its kind overlaps it.  Every rule is tried on every text.
 
 Defined results: null or empty text has no span.  Offsets are code points, the end exclusive.
 """
@@ -114,10 +114,11 @@ DIGITS = {
 }
 NAME = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 # digits are spelled where at least three names follow one another, or a name joins digits and names
-SPELLED = re.compile(rf"\b{NAME}(?:[ \t]*[ ,-][ \t]*{NAME}){{2,}}\b", re.I)
+SPELLED = re.compile(rf"\b{NAME}(?:(?:[ \t]+|[ \t]*[,-][ \t]*){NAME}){{2,}}\b", re.I)
 ONE_NAME = re.compile(NAME, re.I)
-AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@|arroba|chez)[ \t]*[\])}>][ \t]*", re.I)
-DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|\.|punto|point|punkt)[ \t]*[\])}>][ \t]*", re.I)
+# the blanks before a bracket are tried from their first one only, so that long blanks take linear time
+AT = re.compile(r"(?:(?<![ \t])[ \t]+)?[\[({<][ \t]*(?:at|@|arroba|chez)[ \t]*[\])}>][ \t]*", re.I)
+DOT = re.compile(r"(?:(?<![ \t])[ \t]+)?[\[({<][ \t]*(?:dot|\.|punto|point|punkt)[ \t]*[\])}>][ \t]*", re.I)
 # Last labels that a spoken address may end in.
 ENDINGS = "com|org|net|edu|gov|info|biz|io|co|ai|dev|app|uk|us|eu|de|fr|es|it|nl|ch|at|be|pt|br|mx|ca|au|jp|cn|in|ru"
 # a spoken dot needs an ending within a few words, or digits on both sides
@@ -128,7 +129,7 @@ SPOKEN_DOT = re.compile(
 )
 SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+(?:at|arroba)[ \t]+(?=[A-Za-z0-9-]+\.[A-Za-z])", re.I)
 SPOKEN_PLUS = re.compile(r"\bplus[ \t]+(?=[0-9])", re.I)
-HINT = re.compile(r"[\[({<][ \t]*(?:at|@|arroba|chez|dot|\.|punto|point|punkt)[ \t]*[\])}>]|[A-Za-z0-9][ \t]+(?:dot|punto|punkt)[ \t]+[A-Za-z0-9]", re.I)
+SIGNS = ((AT, "@"), (DOT, "."), (SPOKEN_DOT, "."), (SPOKEN_AT, "@"), (SPOKEN_PLUS, "+"))
 
 
 class Rewritten:
@@ -172,22 +173,16 @@ class Rewritten:
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows, in the source's offsets."""
     clear = text if text.isascii() else text.translate(HOMOGLYPHS)
-    changed = clear != text
     hidden = not text.isascii() and INVISIBLE.search(clear)
-    hint, spelled = HINT.search(clear), SPELLED.search(clear)
-    if not (changed or hidden or hint or spelled):
+    # where no rule has a match in this text, none gets one from another rule
+    if not (clear != text or hidden or SPELLED.search(clear) or any(p.search(clear) for p, _ in SIGNS)):
         return []
     new = Rewritten(clear)
     if hidden:
         new.sub(INVISIBLE, lambda m: "")
-    if hidden or spelled:
-        new.digits()
-    if hidden or hint or spelled:
-        new.sub(AT, lambda m: "@")
-        new.sub(DOT, lambda m: ".")
-        new.sub(SPOKEN_DOT, lambda m: ".")
-        new.sub(SPOKEN_AT, lambda m: "@")
-        new.sub(SPOKEN_PLUS, lambda m: "+")
+    new.digits()
+    for pattern, sign in SIGNS:
+        new.sub(pattern, lambda m, sign=sign: sign)
     out = []
     for kind, s, e in plain_spans(new.text):
         s, e = new.start[s], new.end[e - 1]

@@ -63,6 +63,26 @@ def test_disguises_map_back(text, span):
     assert extra == [span]
 
 
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("mail joe at example.com", "joe at example.com"),
+        ("joe arroba example.es", "joe arroba example.es"),
+        ("call plus 44 20 7946 0958", "plus 44 20 7946 0958"),
+        ("ｃall plus 44 20 7946 0958", "plus 44 20 7946 0958"),
+    ],
+)
+def test_every_rule_is_tried_on_every_text(text, span):
+    assert [text[s:e] for _, s, e in pii.spans_of(text)[1]] == [span]
+    far = text + " and far away a [dot] stands"
+    assert pii.spans_of(far) == pii.spans_of(text)
+
+
+def test_long_blanks_take_linear_time():
+    for text in ("a" + " " * 200_000 + "b", "one" + " " * 200_000 + "x", "a [dot] b" + "\t" * 200_000):
+        pii.spans_of(text)
+
+
 def test_clean_text_has_no_span():
     for text in ("Look at the dot on one two three pages.", "un deux trois, soleil", "meet at noon", "a (at) b", "version 1.2.3"):
         assert pii.spans_of(text) == ([], [])
