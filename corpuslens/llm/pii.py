@@ -113,8 +113,9 @@ DIGITS = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 NAME = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-# digits are spelled where at least three names follow one another, or a name joins digits and names
-SPELLED = re.compile(rf"\b{NAME}(?:(?:[ \t]+|[ \t]*[,-][ \t]*){NAME}){{2,}}\b", re.I)
+GAP = r"(?:[ \t]+|[ \t]*[,-][ \t]*)"
+# digits are spelled where at least three names follow one another, or where digits and names are mixed
+SPELLED = re.compile(rf"\b{NAME}(?:{GAP}{NAME}){{2,}}\b", re.I)
 ONE_NAME = re.compile(NAME, re.I)
 # the blanks before a bracket are tried from their first one only, so that long blanks take linear time
 AT = re.compile(r"(?:(?<![ \t])[ \t]+)?[\[({<][ \t]*(?:at|@|arroba|chez)[ \t]*[\])}>][ \t]*", re.I)
@@ -132,61 +133,104 @@ SPOKEN_PLUS = re.compile(r"\bplus[ \t]+(?=[0-9])", re.I)
 SIGNS = ((AT, "@"), (DOT, "."), (SPOKEN_DOT, "."), (SPOKEN_AT, "@"), (SPOKEN_PLUS, "+"))
 
 
+BRACKETED_DOT = r"[ \t]*[\[({<][ \t]*(?:dot|\.|punto|point|punkt)[ \t]*[\])}>][ \t]*"
+JOINT = rf"(?:{BRACKETED_DOT}|[ \t]+(?:dot|punto|punkt)[ \t]+|\.|{GAP})"
+# names and digit groups, with gaps or dots between them
+MIXED = re.compile(rf"(?<!\w)(?:{NAME}|[0-9]++)(?!\w)(?:{JOINT}(?:{NAME}|[0-9]++)(?!\w))*+", re.I)
+TOKEN = re.compile(rf"(?<!\w)(?:({NAME})|[0-9]+)(?!\w)", re.I)
+GAP_ONLY = re.compile(GAP)
+ANY_NAME = re.compile(rf"\b{NAME}\b", re.I)
+PLUS_BEFORE = re.compile(r"(?:\+|\bplus[ \t])[ \t(]*\Z", re.I)
+
+
+def mixed_edits(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, new) that write the names in runs of names, digits and dots as digits.
+
+    A name alone counts only after a plus.  Gaps go where a name is beside them; dots and the gaps
+    between digit groups stay.
+    """
+    edits = []
+    for run in MIXED.finditer(text):
+        tokens = list(TOKEN.finditer(text, *run.span()))
+        if not any(m[1] for m in tokens):
+            continue
+        if len(tokens) == 1 and not PLUS_BEFORE.search(text, max(0, run.start() - 8), run.start()):
+            continue
+        before = None
+        for m in tokens:
+            if before and (before[1] or m[1]) and GAP_ONLY.fullmatch(text, before.end(), m.start()):
+                edits.append((before.end(), m.start(), ""))
+            if m[1]:
+                edits.append((*m.span(), str(DIGITS[m[0].lower()])))
+            before = m
+    return edits
+
+
 class Rewritten:
     """A text with the source span of each of its characters."""
 
     def __init__(self, text: str):
         self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
 
-    def sub(self, pattern: re.Pattern, to) -> bool:
-        """Replaces matches by to(match); each new character stands for the whole match."""
+    def edit(self, edits: list[tuple[int, int, str]]) -> bool:
+        """Replaces text[s:e] by `new`, in order; each new character stands for the whole of it."""
         out, start, end, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            out += [self.text[at : m.start()], new]
-            start += self.start[at : m.start()] + [self.start[m.start()]] * len(new)
-            end += self.end[at : m.start()] + [self.end[m.end() - 1]] * len(new)
-            at = m.end()
-        if not at:
+        for s, e, new in edits:
+            out += [self.text[at:s], new]
+            start += self.start[at:s] + [self.start[s]] * len(new)
+            end += self.end[at:s] + [self.end[e - 1]] * len(new)
+            at = e
+        if not edits:
             return False
         self.text, self.start, self.end = "".join(out) + self.text[at:], start + self.start[at:], end + self.end[at:]
         return True
 
+    def sub(self, pattern: re.Pattern, to) -> bool:
+        """Replaces matches by to(match)."""
+        return self.edit([(*m.span(), to(m)) for m in pattern.finditer(self.text)])
+
     def digits(self) -> bool:
         """Spelled digits; each digit keeps the span of its own name."""
-        out, start, end, at = [], [], [], 0
+        edits = []
         for run in SPELLED.finditer(self.text):
-            out.append(self.text[at : run.start()])
-            start += self.start[at : run.start()]
-            end += self.end[at : run.start()]
+            at = run.start()
             for m in ONE_NAME.finditer(self.text, run.start(), run.end()):
-                out.append(str(DIGITS[m[0].lower()]))
-                start.append(self.start[m.start()])
-                end.append(self.end[m.end() - 1])
-            at = run.end()
-        if not at:
-            return False
-        self.text, self.start, self.end = "".join(out) + self.text[at:], start + self.start[at:], end + self.end[at:]
-        return True
+                edits += [(at, m.start(), "")] * (m.start() > at) + [(*m.span(), str(DIGITS[m[0].lower()]))]
+                at = m.end()
+        return self.edit(edits)
+
+    def signs(self) -> None:
+        for pattern, sign in SIGNS:
+            self.sub(pattern, lambda m: sign)
 
 
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows, in the source's offsets."""
     clear = text if text.isascii() else text.translate(HOMOGLYPHS)
     hidden = not text.isascii() and INVISIBLE.search(clear)
+    mixed = ANY_NAME.search(clear) or hidden
     # where no rule has a match in this text, none gets one from another rule
-    if not (clear != text or hidden or SPELLED.search(clear) or any(p.search(clear) for p, _ in SIGNS)):
+    if not (clear != text or hidden or mixed or any(p.search(clear) for p, _ in SIGNS)):
         return []
-    new = Rewritten(clear)
-    if hidden:
-        new.sub(INVISIBLE, lambda m: "")
-    new.digits()
-    for pattern, sign in SIGNS:
-        new.sub(pattern, lambda m, sign=sign: sign)
+    # two readings: runs of names only, and runs of names, digits and dots, which may take in a number beside them
+    found = []
+    for kind_of_run in ("names", "mixed"):
+        new = Rewritten(clear)
+        if hidden:
+            new.sub(INVISIBLE, lambda m: "")
+        if kind_of_run == "names":
+            new.digits()
+        elif not (mixed and new.edit(mixed_edits(new.text))):
+            break
+        new.signs()
+        found += [(k, new.start[s], new.end[e - 1]) for k, s, e in plain_spans(new.text)]
+    taken = {k: bytearray(len(text)) for k in KINDS}
+    for kind, s, e in plain:
+        taken[kind][s:e] = b"\1" * (e - s)
     out = []
-    for kind, s, e in plain_spans(new.text):
-        s, e = new.start[s], new.end[e - 1]
-        if not any(k == kind and s < b and a < e for k, a, b in plain):
+    for kind, s, e in sorted(found, key=lambda x: (x[1] - x[2], x[1])):
+        if 1 not in taken[kind][s:e]:
+            taken[kind][s:e] = b"\1" * (e - s)
             out.append((kind, s, e))
     return out
 

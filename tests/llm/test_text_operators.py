@@ -63,6 +63,26 @@ def test_disguises_map_back(text, span):
     assert extra == [span]
 
 
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("call +1 two 1 two five 5 five 0 one 4 seven now", "+1 two 1 two five 5 five 0 one 4 seven"),
+        ("host one nine two dot one six eight dot one dot one up", "one nine two dot one six eight dot one dot one"),
+        ("host ten. 192 [dot] one six eight . no, 10 dot zero dot zero dot one", "10 dot zero dot zero dot one"),
+        ("call plus one (212) 555 0147", "plus one (212) 555 0147"),
+        ("card 4111 1111 one one 11 1111 end", "4111 1111 one one 11 1111"),
+        ("pay 7, four" + " one" * 15, "four" + " one" * 15),
+    ],
+)
+def test_names_and_digits_mixed(text, span):
+    assert [text[s:e] for _, s, e in pii.spans_of(text)[1]] == [span]
+
+
+def test_mixed_runs_take_linear_time():
+    for text in ("one 1 " * 40_000, "one." * 50_000, "1 dot one, " * 20_000, "one " + "1" * 200_000 + "a", "one" + "1." * 100_000):
+        pii.spans_of(text)
+
+
 @pytest.mark.parametrize(
     ("text", "span"),
     [
