@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +115,10 @@ def randomness(run: str) -> float:
     return math.exp(-half_stat) * (1 + half_stat + half_stat * half_stat / 2)
 
 
+def each(f, values: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(f, values.tolist()), float, len(values))
+
+
 def randomness_rows(x: np.ndarray, size: int) -> np.ndarray:
     """randomness() of each row of codes below `size`, all rows of one length."""
     m, n = x.shape
@@ -129,18 +132,17 @@ def randomness_rows(x: np.ndarray, size: int) -> np.ndarray:
     mean = 2 * a * (n - a) / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
     runs = 1 + (half[:, 1:] != half[:, :-1]).sum(axis=1)
-    d = x - x.mean(axis=1, keepdims=True)
-    den = (d * d).sum(axis=1)
-    out = np.zeros(m)
-    for i in np.flatnonzero((a > 0) & (a < n)):
-        ps = (
-            upper_tail(chi2[i], groups - 1),
-            two_sided((runs[i] - mean[i]) / math.sqrt(var[i])) if var[i] > 0 else 0.0,
-            two_sided((d[i, :-1] * d[i, 1:]).sum() / den[i] * math.sqrt(n)) if den[i] else 0.0,
-        )
-        half_stat = -sum(math.log(max(p, 1e-100)) for p in ps)
-        out[i] = math.exp(-half_stat) * (1 + half_stat + half_stat * half_stat / 2)
-    return out
+    v = x.astype(float)
+    total, average = v.sum(axis=1), v.mean(axis=1)
+    den = np.einsum("ij,ij->i", v, v) - n * average**2
+    lag = np.einsum("ij,ij->i", v[:, :-1], v[:, 1:]) - average * (2 * total - v[:, 0] - v[:, -1]) + (n - 1) * average**2
+    k = groups - 1
+    z = (np.cbrt(chi2 / k) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+    p1 = np.where(chi2 > 0, 0.5 * each(math.erfc, z / math.sqrt(2)), 1.0)
+    p2 = np.where(var > 0, each(math.erfc, np.abs(runs - mean) / np.sqrt(np.where(var > 0, var, 1) * 2)), 0.0)
+    p3 = np.where(den > 1e-9, each(math.erfc, np.abs(lag) / np.where(den > 1e-9, den, 1) * math.sqrt(n / 2)), 0.0)
+    half_stat = -sum(np.log(np.maximum(p, 1e-100)) for p in (p1, p2, p3))
+    return np.where((a > 0) & (a < n), np.exp(-half_stat) * (1 + half_stat + half_stat * half_stat / 2), 0.0)
 
 
 def classes(run: str) -> int:
@@ -173,31 +175,42 @@ LETTER[97:123] = LETTER[65:91] = [USUAL.index(chr(c)) for c in range(97, 123)]
 LENGTHS = (18, 22, 26, 30, 36, 52, 76, 108, 152, 216, 304, 432)  # of ordinary strings, per band
 
 
+def add_ordinary(null: np.ndarray, texts: list[np.ndarray]) -> None:
+    """Adds the scores of the texts' letters to the null of every band, no stretch across two texts."""
+    for k, n in enumerate(LENGTHS):
+        cut = [x[: len(x) // n * n] for x in texts if len(x) >= n]
+        rows = np.concatenate(cut).reshape(-1, n) if cut else np.empty((0, n), np.int64)
+        for at in range(0, len(rows), 1 << 14):
+            null[k] += np.bincount(bins_of(randomness_rows(rows[at : at + (1 << 14)], 36)), minlength=BINS)
+
+
 def histograms(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(ordinary, candidates): counts per length band and score bin, over all documents.
 
-    Ordinary strings are all letters of a text, lower-cased and cut into stretches of one band's
-    length; the text's checksum says which band, so that every length has its own null and every
-    document adds its whole text to one.
+    Ordinary strings are all letters of a text, lower-cased and cut into stretches of each band's
+    length, so that every length has its own null and every document adds its whole text to each.
+    Runs of mixed characters stay out, lest the secrets themselves be the null.
     """
 
     def run(batches):
         null, seen = np.zeros((BANDS, BINS), np.int64), np.zeros((BANDS, BINS), np.int64)
+        held, size = [], 0
         for b in batches:
             for t in b.column("text"):
                 text = t.as_py()
                 if not text:
                     continue
-                data = text.encode()
-                k = zlib.crc32(data) % BANDS
-                codes = LETTER[np.frombuffer(data, np.uint8)]
-                codes = codes[codes >= 0]
-                if len(codes) >= LENGTHS[k]:
-                    rows = codes[: len(codes) // LENGTHS[k] * LENGTHS[k]].reshape(-1, LENGTHS[k])
-                    np.add.at(null[k], bins_of(randomness_rows(rows, 36)), 1)
+                ordinary = RUN.sub(lambda m: m[0] if is_ordinary(m[0]) else " ", text)
+                codes = LETTER[np.frombuffer(ordinary.encode(), np.uint8)]
+                held.append(codes[codes >= 0])
+                size += len(held[-1])
+                if size > 1 << 18:
+                    add_ordinary(null, held)
+                    held, size = [], 0
                 for m in RUN.finditer(text):
                     if classes(m[0]) >= 2 and not is_ordinary(m[0]):
                         seen[band_of(len(m[0])), bin_of(randomness(m[0]))] += 1
+        add_ordinary(null, held)
         for name, table in (("null", null), ("seen", seen)):
             at = np.argwhere(table)
             if len(at):

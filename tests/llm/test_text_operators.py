@@ -149,6 +149,13 @@ def test_randomness_separates(spark):
     assert found[200] == 0 and not any(found[i] for i in range(60))
 
 
+def test_every_band_has_the_letters_of_all_documents(spark):
+    docs = [(i, "every document adds its letters to each band " * 30, "en", "") for i in range(3)]
+    null, _ = secrets_scan.histograms(frame(spark, docs))
+    letters = sum(c.isalpha() for c in docs[0][1])
+    assert [null[k].sum() for k in range(secrets_scan.BANDS)] == [3 * (letters // n) for n in secrets_scan.LENGTHS]
+
+
 def test_row_battery_is_the_scalar_one():
     x = np.random.default_rng(0).integers(0, 36, (40, 40))
     letters = sorted("abcdefghijklmnopqrstuvwxyz0123456789", key=secrets_scan.RANK.get)
