@@ -1,14 +1,17 @@
 """Secret scan: plain patterns, and a randomness test battery on every unbroken run of characters.
 
-Each candidate run gets an encoding (hex, base32, base64 or mixed) from the characters it uses,
-and three tests against a random string of that encoding: chi-squared uniformity over the
-alphabet (in groups that keep the expected counts up), runs of the alphabet's halves, and serial
-correlation of neighbouring characters.  The three p-values make one score by Fisher's method.
+Runs are parted at '='.  Each part gets an encoding (letters, hex, base32, base64 or mixed) from
+the characters it uses, and three tests against a random string of that encoding: chi-squared
+uniformity over the alphabet (in groups that keep the expected counts up), runs of the alphabet's
+halves, and serial correlation of neighbouring characters.  The three p-values make one score by
+Fisher's method.  A part that is not random as a whole is tested between its slashes, too.
 
 False discoveries are controlled by length: a first pass over all documents gathers, per length
-band, the scores of ordinary words, a table of fixed size; a candidate's p-value is the share of
-ordinary strings of its band that look as random.  Benjamini-Hochberg over the histogram of all
-candidates' p-values then gives each band its threshold, and a second pass adds the spans.
+band, the scores of ordinary letters, a table of fixed size; a candidate's p-value is the share of
+ordinary strings of its band that look as random.  Parts of letters in one case are tested in an
+alphabet of letters, and have bands and ordinary strings of their own.  Benjamini-Hochberg over
+the histogram of all candidates' p-values then gives each band its threshold, and a second pass
+adds the spans.
 
 Defined results: null or empty text has no span.  Offsets are code points, the end exclusive; an
 `assign` span is the whole match, with its key.  Candidates that overlap a plain span are dropped.
@@ -19,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART, SEGMENT = re.compile(r"[A-Za-z0-9+/_-]{16,}"), re.compile(r"[A-Za-z0-9+_-]{16,}")
 LONGEST, BANDS, BINS = 4096, 12, 200
 
 
@@ -44,13 +49,17 @@ def plain_spans(text: str) -> list[tuple[int, int, str]]:
 
 # Encodings from narrow to wide: name, alphabet.
 ENCODINGS = (
+    ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
+    ("letters", "abcdefghijklmnopqrstuvwxyz"),
+    ("LETTERS", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("lower", "abcdefghijklmnopqrstuvwxyz0123456789"),
     ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 # Letters by their frequency in English, the most frequent first: a group of neighbours in this
 # order is far from uniform in any text, and capitals, digits and signs stay apart from letters.
@@ -145,21 +154,30 @@ def randomness_rows(x: np.ndarray, size: int) -> np.ndarray:
     return np.where((a > 0) & (a < n), np.exp(-half_stat) * (1 + half_stat + half_stat * half_stat / 2), 0.0)
 
 
-def classes(run: str) -> int:
-    """Of digits, lower and upper case letters, how many the run has."""
-    return any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in run)
-
-
 def is_ordinary(run: str) -> bool:
     """Letters only, in one case but for the first: what the null distribution is made of."""
     return run.isalpha() and (run.islower() or run.isupper() or run[1:].islower())
 
 
+def parts(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Candidates (start, end): per part of a run between '=', the part, and then what lies between its slashes."""
+    for run in RUN.finditer(text):
+        for part in PART.finditer(text, *run.span()):
+            s, e = part.span()
+            inner = [m.span() for m in SEGMENT.finditer(text, s, e)] if "/" in part[0] else []
+            yield [(s, e), *(x for x in inner if x != (s, e))]
+
+
 def band_of(n: int) -> int:
     """Length bands: 16-19, 20-23, 24-27, 28-31, then by doubling halves."""
     return min(BANDS - 1, (n - 16) // 4 if n < 32 else 4 + int(2 * math.log2(n / 32)))
 
 
+def row_of(run: str) -> int:
+    """The run's row of the histograms: its length band, past the others' for letters in one case."""
+    return band_of(len(run)) + BANDS * (run.isalpha() and (run.islower() or run.isupper()))
+
+
 def bin_of(p: float) -> int:
     """Bins of log10(p), from 1e-20 up."""
     return min(BINS - 1, max(0, int((math.log10(max(p, 1e-20)) + 20) * BINS / 20)))
@@ -181,7 +199,8 @@ def add_ordinary(null: np.ndarray, texts: list[np.ndarray]) -> None:
         cut = [x[: len(x) // n * n] for x in texts if len(x) >= n]
         rows = np.concatenate(cut).reshape(-1, n) if cut else np.empty((0, n), np.int64)
         for at in range(0, len(rows), 1 << 14):
-            null[k] += np.bincount(bins_of(randomness_rows(rows[at : at + (1 << 14)], 36)), minlength=BINS)
+            for row, size in ((k, 36), (BANDS + k, 26)):
+                null[row] += np.bincount(bins_of(randomness_rows(rows[at : at + (1 << 14)], size)), minlength=BINS)
 
 
 def histograms(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +212,7 @@ def histograms(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def run(batches):
-        null, seen = np.zeros((BANDS, BINS), np.int64), np.zeros((BANDS, BINS), np.int64)
+        null, seen = np.zeros((2 * BANDS, BINS), np.int64), np.zeros((2 * BANDS, BINS), np.int64)
         held, size = [], 0
         for b in batches:
             for t in b.column("text"):
@@ -207,9 +226,9 @@ def histograms(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 if size > 1 << 18:
                     add_ordinary(null, held)
                     held, size = [], 0
-                for m in RUN.finditer(text):
-                    if classes(m[0]) >= 2 and not is_ordinary(m[0]):
-                        seen[band_of(len(m[0])), bin_of(randomness(m[0]))] += 1
+                for part in parts(text):
+                    for s, e in part:
+                        seen[row_of(text[s:e]), bin_of(randomness(text[s:e]))] += 1
         add_ordinary(null, held)
         for name, table in (("null", null), ("seen", seen)):
             at = np.argwhere(table)
@@ -220,7 +239,7 @@ def histograms(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 )
 
     rows = docs.select("text").mapInArrow(run, "what string, band int, bin int, n long").groupBy("what", "band", "bin").agg(F.sum("n").alias("n"))
-    out = {"null": np.zeros((BANDS, BINS), np.int64), "seen": np.zeros((BANDS, BINS), np.int64)}
+    out = {"null": np.zeros((2 * BANDS, BINS), np.int64), "seen": np.zeros((2 * BANDS, BINS), np.int64)}
     for r in rows.collect():
         out[r["what"]][r["band"], r["bin"]] = r["n"]
     return out["null"], out["seen"]
@@ -241,8 +260,8 @@ def thresholds(null: np.ndarray, seen: np.ndarray, rate: float) -> np.ndarray:
             cut = p
     # no band looks random below the level at which a truly random string is seldom rejected
     floor = bin_of(1e-4)
-    out = np.full(BANDS, BINS)
-    for k in range(BANDS):
+    out = np.full(len(null), BINS)
+    for k in range(len(null)):
         ok = np.flatnonzero(tail[k] <= cut)
         if len(ok):
             out[k] = max(floor, ok[0])
@@ -251,12 +270,14 @@ def thresholds(null: np.ndarray, seen: np.ndarray, rate: float) -> np.ndarray:
 
 def random_spans(text: str, plain: list[tuple[int, int, str]], cut: np.ndarray) -> list[tuple[int, int, str]]:
     out = []
-    for m in RUN.finditer(text):
-        s, e = m.span()
-        if classes(m[0]) < 2 or is_ordinary(m[0]) or any(a < e and s < b for a, b, _ in plain):
-            continue
-        if bin_of(randomness(m[0])) >= cut[band_of(e - s)]:
-            out.append((s, e, "random"))
+    for part in parts(text):
+        for s, e in part:
+            if any(a < e and s < b for a, b, _ in plain):
+                continue
+            if bin_of(randomness(text[s:e])) >= cut[row_of(text[s:e])]:
+                out.append((s, e, "random"))
+                if (s, e) == part[0]:
+                    break
     return out
 
 

@@ -156,6 +156,31 @@ def test_every_band_has_the_letters_of_all_documents(spark):
     assert [null[k].sum() for k in range(secrets_scan.BANDS)] == [3 * (letters // n) for n in secrets_scan.LENGTHS]
 
 
+WORDS = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when".split()
+
+
+def test_no_candidate_is_lost_for_its_alphabet(spark):
+    rng = random.Random(6)
+    of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    base = low + low.upper() + "0123456789"
+    docs = [(i, " ".join(rng.choice(WORDS) for _ in range(600)), "en", "") for i in range(240)]
+    made = [("AWS_ACCESS_CODE={}", of(base, 40)), ("STRIPE_KEY={}", of(base + "-_", 40)), ("//h/upload/{}", of(base + "-_", 43)), ("x {} y", of(low, 60)), ("x {} y", of(low.upper(), 60)), ("x {} y", of(base + "+/-_", 60))]
+    docs += [(1000 + i, form.format(key), "en", "") for i, (form, key) in enumerate(made)]
+    docs += [(2000, "internationalization counterrevolutionaries " + "".join(WORDS[:14]), "en", "")]
+    rows = {r["doc_id"]: r for r in secrets_scan.secrets(frame(spark, docs)).collect()}
+    for i, (form, key) in enumerate(made):
+        text, found = form.format(key), rows[1000 + i]["spans"]
+        spans = [tuple(map(int, x.split(":")[1:])) for x in found.split(",") if x]
+        assert any(s <= text.index(key) and e >= text.index(key) + len(key) for s, e in spans), (text, found)
+    assert rows[2000]["n_random"] == 0 and not any(rows[i]["n_random"] for i in range(240))
+
+
+def test_every_run_has_an_encoding():
+    assert secrets_scan.encoding_of("aB3+/-_x")[0] == "mixed"
+    assert secrets_scan.encoding_of("abcxyz")[0] == "letters"
+
+
 def test_row_battery_is_the_scalar_one():
     x = np.random.default_rng(0).integers(0, 36, (40, 40))
     letters = sorted("abcdefghijklmnopqrstuvwxyz0123456789", key=secrets_scan.RANK.get)
