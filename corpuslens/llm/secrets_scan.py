@@ -4,7 +4,8 @@ Runs are parted at '='.  Each part gets an encoding (letters, hex, base32, base6
 the characters it uses, and three tests against a random string of that encoding: chi-squared
 uniformity over the alphabet (in groups that keep the expected counts up), runs of the alphabet's
 halves, and serial correlation of neighbouring characters.  The three p-values make one score by
-Fisher's method.  A part that is not random as a whole is tested between its slashes, too.
+Fisher's method.  A part that is not random as a whole is tested between its slashes, too.  What
+is longer than LONGEST is tested in consecutive windows, and random neighbours make one span.
 
 False discoveries are controlled by length: a first pass over all documents gathers, per length
 band, the scores of ordinary letters, a table of fixed size; a candidate's p-value is the share of
@@ -36,7 +37,7 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 PART, SEGMENT = re.compile(r"[A-Za-z0-9+/_-]{16,}"), re.compile(r"[A-Za-z0-9+_-]{16,}")
-LONGEST, BANDS, BINS = 4096, 12, 200
+LONGEST, BANDS, BINS = 512, 12, 200
 
 
 def plain_spans(text: str) -> list[tuple[int, int, str]]:
@@ -95,7 +96,7 @@ def randomness(run: str) -> float:
     if found is None:
         return 0.0
     _, at = found
-    x = [at[c] for c in run.rstrip("=")[:LONGEST]]
+    x = [at[c] for c in run.rstrip("=")]
     n, size = len(x), len(at)
     if n < 8:
         return 0.0
@@ -159,13 +160,18 @@ def is_ordinary(run: str) -> bool:
     return run.isalpha() and (run.islower() or run.isupper() or run[1:].islower())
 
 
-def parts(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Candidates (start, end): per part of a run between '=', the part, and then what lies between its slashes."""
+def windows(s: int, e: int) -> list[tuple[int, int]]:
+    """s to e in consecutive windows of at most LONGEST characters, as equal as can be."""
+    k = -(-(e - s) // LONGEST)
+    return [(s + (e - s) * i // k, s + (e - s) * (i + 1) // k) for i in range(k)]
+
+
+def parts(text: str) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """Candidates (start, end), by part of a run between '=': the part's windows, and those of what lies between its slashes."""
     for run in RUN.finditer(text):
         for part in PART.finditer(text, *run.span()):
-            s, e = part.span()
-            inner = [m.span() for m in SEGMENT.finditer(text, s, e)] if "/" in part[0] else []
-            yield [(s, e), *(x for x in inner if x != (s, e))]
+            inner = [m.span() for m in SEGMENT.finditer(text, *part.span())] if "/" in part[0] else []
+            yield windows(*part.span()), [w for x in inner if x != part.span() for w in windows(*x)]
 
 
 def band_of(n: int) -> int:
@@ -227,7 +233,7 @@ def histograms(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     add_ordinary(null, held)
                     held, size = [], 0
                 for part in parts(text):
-                    for s, e in part:
+                    for s, e in part[0] + part[1]:
                         seen[row_of(text[s:e]), bin_of(randomness(text[s:e]))] += 1
         add_ordinary(null, held)
         for name, table in (("null", null), ("seen", seen)):
@@ -269,15 +275,20 @@ def thresholds(null: np.ndarray, seen: np.ndarray, rate: float) -> np.ndarray:
 
 
 def random_spans(text: str, plain: list[tuple[int, int, str]], cut: np.ndarray) -> list[tuple[int, int, str]]:
-    out = []
-    for part in parts(text):
-        for s, e in part:
-            if any(a < e and s < b for a, b, _ in plain):
-                continue
-            if bin_of(randomness(text[s:e])) >= cut[row_of(text[s:e])]:
-                out.append((s, e, "random"))
-                if (s, e) == part[0]:
-                    break
+    out, taken = [], bytearray(len(text))
+    for a, b, _ in plain:
+        taken[a:b] = b"\1" * (b - a)
+    for outer, inner in parts(text):
+        found = []
+        for tried in (outer, inner):
+            new = [(s, e) for s, e in tried if taken.find(1, s, e) < 0 and bin_of(randomness(text[s:e])) >= cut[row_of(text[s:e])]]
+            for s, e in new:
+                taken[s:e] = b"\1" * (e - s)
+            found += new
+        for s, e in sorted(found):
+            if out and out[-1][1] == s:
+                s = out.pop()[0]
+            out.append((s, e, "random"))
     return out
 
 

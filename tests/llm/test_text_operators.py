@@ -181,6 +181,20 @@ def test_every_run_has_an_encoding():
     assert secrets_scan.encoding_of("abcxyz")[0] == "letters"
 
 
+def test_long_runs_are_tested_to_their_end(spark):
+    rng = random.Random(7)
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-"
+    docs = [(i, " ".join(rng.choice(WORDS) for _ in range(600)), "en", "") for i in range(240)]
+    plain, noise = "theAndOfThat1" * 500, "".join(rng.choice(base) for _ in range(6500))
+    docs += [(1000, plain + noise, "en", ""), (1001, noise + plain, "en", ""), (1002, noise, "en", "")]
+    found = {r["doc_id"]: r["spans"] for r in secrets_scan.secrets(frame(spark, docs)).collect()}
+    ends = lambda i: [tuple(map(int, x.split(":")[1:])) for x in found[i].split(",") if x.startswith("random")]
+    covered = lambda i, s, e: sum(max(0, min(e, b) - max(s, a)) for a, b in ends(i))
+    assert covered(1000, 6500, 13000) > 5900 and covered(1000, 0, 6500) < 600
+    assert covered(1001, 0, 6500) > 5900 and covered(1001, 6500, 13000) < 600
+    assert ends(1002) == [(0, 6500)]
+
+
 def test_row_battery_is_the_scalar_one():
     x = np.random.default_rng(0).integers(0, 36, (40, 40))
     letters = sorted("abcdefghijklmnopqrstuvwxyz0123456789", key=secrets_scan.RANK.get)
