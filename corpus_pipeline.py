@@ -25,18 +25,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col(pred) != "und").withColumn("lang", F.coalesce("lang", pred)).drop(pred, score)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `__key`, which rows share only if they have both doc_id and text in common."""
+    return docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of shingle similarity 0.8 or more."""
-    groups = jaccard_components(docs, width=5, percent=80).where("component_id = doc_id or doc_id is null")
-    kept = docs.join(groups.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Keeps the document with the smallest doc_id of each group of shingle similarity 0.8 or more.
+
+    Rows that repeat a doc_id are documents of their own; a null doc_id is never linked.
+    """
+    rows = keyed(docs).where("doc_id is not null")
+    groups = jaccard_components(rows.select(F.col("__key").alias("doc_id"), "text"), width=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    first = groups.join(rows.select("__key", "doc_id"), "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("m"))
+    kept = rows.join(first.select(F.col("m.__key").alias("__key")), "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which any window of a benchmark item occurs."""
-    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"), width=10)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """Drops documents in which any window of a benchmark item occurs; each row by its own text."""
+    rows = keyed(docs)
+    found = decontaminate.contamination(rows.select(F.col("__key").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"), width=10)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+    return rows.join(bad, "__key", "left_anti").select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

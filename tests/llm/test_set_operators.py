@@ -231,6 +231,19 @@ def test_stages(spark, tmp_path):
     assert dict(seen) == {"language_id": 15, "ngram_jaccard_join": 14, "decontamination": 13, "pii": 13, "sentencepiece": 13}
 
 
+def test_rows_are_kept_and_dropped_by_their_own_text(spark, tmp_path):
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    item = "secret benchmark passage of exactly ten words or a few more here"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = frame(spark, [(None, own(1)), (None, own(2) + " " + item), (7, own(3)), (7, own(4)), (7, own(4)), (9, own(4)), (8, item), (8, own(5)), (None, None)])
+    texts = lambda df: sorted((r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert texts(kept) == sorted([(0, own(1)), (0, own(2) + " " + item), (7, own(3)), (7, own(4)), (8, item), (8, own(5)), (0, "")])
+    clean = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert texts(clean) == sorted([(0, own(1)), (7, own(3)), (7, own(4)), (7, own(4)), (9, own(4)), (8, own(5)), (0, "")])
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline_against_brute_force(spark):
     from corpuslens.llm import pii, sentencepiece_codec
