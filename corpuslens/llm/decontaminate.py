@@ -7,8 +7,11 @@
    around it, which are the offset-adjusted lists of the window's other terms at that place.  It
    also stores one row per document with its length.
 4. `phrase_matches` intersects: windows meet the postings of their anchor, and a match is an
-   occurrence where every other term stands at its offset.  `proximity_matches` asks for enough
-   distinct terms of the window near the anchor instead.
+   occurrence where every other term stands at its offset.
+5. `near_contamination` asks for a share of the window's distinct terms, in any order, instead.  Of
+   n distinct terms with c needed, any match holds one of any n - c + 1; the rarest of them are the
+   window's anchors (terms that no document has are counted in, and have no postings), and
+   `proximity_matches` counts the window's terms within reach of each.
 
 DataFrame functions only.  Sets of terms are broadcast while they have at most `small` rows, and
 joined by a shuffle beyond that.
@@ -50,12 +53,29 @@ def windows(items: DataFrame, width: int) -> DataFrame:
     return cut.groupBy("terms").agg(F.collect_set("item_id").alias("item_ids")).withColumn("window", F.array_join("terms", " "))
 
 
-def anchored(cut: DataFrame, docs: DataFrame, small: int) -> DataFrame:
-    """Windows with `anchor`, their rarest term in the documents, and its `offset`."""
+def term_counts(cut: DataFrame, docs: DataFrame, small: int) -> DataFrame:
+    """(term, times): how often the documents have each term of the windows."""
     vocabulary = cut.select(F.explode("terms").alias("term")).distinct()
     seen = docs.select(F.explode(words("text")).alias("term")).join(at_most(vocabulary, small), "term", "left_semi")
-    counts = seen.groupBy("term").agg(F.count("*").alias("times"))
-    each = cut.select("window", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    return seen.groupBy("term").agg(F.count("*").alias("times"))
+
+
+def enough(share: float) -> Column:
+    """How many distinct terms of a window make that share."""
+    return F.ceil(F.round(share * F.size(F.array_distinct("terms")), 9)).cast("int")
+
+
+def rare_anchors(cut: DataFrame, docs: DataFrame, share: float, small: int) -> DataFrame:
+    """Windows with `anchor`, a row for each of as many rarest terms as any near match must hold one of."""
+    each = cut.select("window", F.explode(F.array_distinct("terms")).alias("term")).join(term_counts(cut, docs, small), "term", "left")
+    sets = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "term"))).alias("by_times"))
+    anchors = cut.join(sets, "window").select("window", "terms", "item_ids", F.explode(F.slice("by_times", F.lit(1), F.size("by_times") - enough(share) + 1)).alias("a"))
+    return anchors.where("a.times > 0").select("window", "terms", "item_ids", F.col("a.term").alias("anchor"))
+
+
+def anchored(cut: DataFrame, docs: DataFrame, small: int) -> DataFrame:
+    """Windows with `anchor`, their rarest term in the documents, and its `offset`."""
+    each = cut.select("window", F.posexplode("terms").alias("offset", "term")).join(term_counts(cut, docs, small), "term", "left")
     rarest = each.groupBy("window").agg(
         F.min_by(F.struct("term", "offset"), F.struct(F.coalesce("times", F.lit(0)), "offset")).alias("r"), F.min(F.coalesce("times", F.lit(0))).alias("times")
     )
@@ -98,7 +118,7 @@ def phrase_matches(index: DataFrame, cut: DataFrame) -> DataFrame:
 def proximity_matches(index: DataFrame, cut: DataFrame, share: float) -> DataFrame:
     """(doc_id, text_hash, pos, window, near): places with at least that share of a window's distinct terms around its anchor."""
     near = F.size(F.array_intersect("around", "terms"))
-    return index.join(cut, (F.col("term") == F.col("anchor")) & (near >= F.ceil(share * F.size(F.array_distinct("terms"))))).select(
+    return index.join(cut, (F.col("term") == F.col("anchor")) & (near >= enough(share))).select(
         "doc_id", "text_hash", "pos", "window", near.alias("near")
     )
 
@@ -134,3 +154,27 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, small: int
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("ids", none).alias("item_ids"),
     )
+
+
+def near_contamination(docs: DataFrame, items: DataFrame, width: int = 10, share: float = 0.8, small: int = 200_000) -> DataFrame:
+    """(doc_id, n_words, n_near, n_near_items, near_item_ids) per row of docs.
+
+    n_near counts the windows of which some stretch of up to `width` words has at least that share
+    of the distinct terms (and those with as many within `width` - 1 words around an anchor).
+    """
+    scratch = Scratch(docs.sparkSession, "decontaminate-near")
+    cut = scratch.save(rare_anchors(windows(items, width), docs, share, small), "windows")
+    index = scratch.save(positional_index(docs, cut.select(F.col("anchor").alias("term")).distinct(), width - 1, small), "index")
+    hits = proximity_matches(index.where("term is not null"), cut, share).select("doc_id", "text_hash", "window").distinct()
+    hits = hits.join(at_most(cut.select("window", "item_ids").dropDuplicates(["window"]), small), "window")
+    hits = hits.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(
+        F.count("*").alias("n_near"), F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("item_ids"))), lambda x: x.cast("string"))).alias("ids")
+    )
+    rows = index.where("term is null").select("doc_id", "text_hash", "n_words")
+    return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_near_items"),
+        F.coalesce("ids", F.array().cast("array<string>")).alias("near_item_ids"),
+    )

@@ -31,6 +31,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("item_ids")
 
 
+def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near matches, beside op3_decontamination, whose columns are those of its SQL."""
+    return decontaminate.near_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), width=10)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -64,7 +69,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_pii, op3_decontamination, op4_url_filter, op5_secret_scan,
-        op6_sentencepiece, op7_imatch, op8_preferences, op9_ngram_lm, op10_language_id,
+        op6_sentencepiece, op7_imatch, op8_preferences, op9_ngram_lm, op10_language_id, op3_proximity,
     )
 }
 

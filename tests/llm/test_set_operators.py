@@ -166,6 +166,38 @@ def test_proximity(spark):
     assert decontaminate.phrase_matches(index.where("term is not null"), cut).count() == 0
 
 
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_near_contamination_is_complete(spark, small):
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=14))) for i in range(6)] + [(None, None), (70, "one two")]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=40))) for i in range(20)] + [(None, None), (900, "two one"), (900, "two one"), (900, "x one")]
+    for i in range(6):
+        w = items[i][1].split()[2:12]
+        w[rng.randrange(10)] = "misspelt"
+        rng.shuffle(w)
+        docs.append((100 + i, "some text " + " ".join(w) + " more of it"))
+    got = decontaminate.near_contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), small=small).collect()
+    assert len(got) == len(docs)
+    near = {}
+    for r in got:
+        near.setdefault(r["doc_id"], []).append(set(r["near_item_ids"]))
+    assert sorted(map(len, near[900])) == [0, 1, 1]
+    cut = {(i, tuple(t.split()[k : k + 10])) for i, t in items if t for k in range(max(1, len(t.split()) - 9))}
+    for i, t in docs[:20] + docs[24:]:
+        w = t.split()
+        due = {str(k) for k, x in cut for s in range(len(w)) if len(set(w[s : s + 10]) & set(x)) >= -(-len(set(x)) * 8 // 10)}
+        assert due <= near[i][0], i
+    assert all(str(i) in near[100 + i][0] for i in range(6))
+
+
+def test_a_changed_rarest_word_is_found(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    docs = frame(spark, [(1, "x epsilon beta alpha gamma y"), (2, "alpha x"), (3, "nothing")])
+    got = {r["doc_id"]: r["n_near"] for r in decontaminate.near_contamination(docs, items, width=5).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}
+
+
 def test_native_plans_have_no_python(spark):
     docs = frame(spark, [(1, "a b c"), (2, "b c d")])
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
