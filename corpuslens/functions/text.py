@@ -45,16 +45,20 @@ def where(c: str | Column, pattern: str, flags: str = "") -> Column:
     return F.when(at > 0, at - 1)
 
 
+# What counts as blank at the ends of a text or line, the Unicode white space and \x1c to \x1f.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(col(c), F.lit(BLANKS))
 
 
 def lstrip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), rf"(?U)\A{SPACE}+", "")
+    return F.ltrim(col(c), F.lit(BLANKS))
 
 
 def rstrip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), rf"(?U){SPACE}+\z", "")
+    return F.rtrim(col(c), F.lit(BLANKS))
 
 
 def trim_of(c: str | Column, chars: str) -> Column:
@@ -63,8 +67,7 @@ def trim_of(c: str | Column, chars: str) -> Column:
 
 def lines(c: str | Column) -> Column:
     """Lines without their ends; no empty line after the last end."""
-    parts = F.split(col(c), LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(col(c), LINE_END), lambda parts: F.slice(parts, 1, F.size(parts) - (F.element_at(parts, -1) == "").cast("int")))
 
 
 def full_lines(c: str | Column) -> Column:
@@ -74,7 +77,7 @@ def full_lines(c: str | Column) -> Column:
 
 def keep_lines(c: str | Column, keep) -> Column:
     """The text of the lines for which keep(line, stripped line) holds."""
-    return F.array_join(F.filter(lines(c), lambda x: keep(x, strip(x))), "\n")
+    return F.array_join(F.filter(lines(c), lambda x: bound(strip(x), lambda s: keep(x, s))), "\n")
 
 
 def head(c: Column, n: int | Column) -> Column:
@@ -95,12 +98,31 @@ def any_of(c: Column, tokens: tuple[str, ...]) -> Column:
     return out
 
 
+def chars(c: str | Column, one: str) -> Column:
+    """How many characters are in the class `one`, such as [a-z]: what its runs leave is shorter by them."""
+    return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"(?U)(?:{one})++", ""))
+
+
 def letters(c: str | Column) -> Column:
-    return count(c, r"\p{L}")
+    return chars(c, r"\p{L}")
 
 
 def digits(c: str | Column) -> Column:
-    return count(c, r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]")
+    return chars(c, r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]")
+
+
+def chars_of(c: str | Column, listed: str) -> Column:
+    """How many characters are among the listed ones."""
+    return F.length(col(c)) - F.length(F.translate(col(c), listed, ""))
+
+
+# The characters that match an ASCII letter in any case without being one, and these letters.
+FOLDED = ("İıſK", "iisk")
+
+
+def lowered(c: str | Column) -> Column:
+    """A text that holds a lower-case ASCII word wherever the text matches the word in any case."""
+    return F.lower(F.translate(col(c), *FOLDED))
 
 
 def ratio(a: Column, b: Column, default: float = 0.0) -> Column:

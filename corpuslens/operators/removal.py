@@ -6,10 +6,12 @@ of its patterns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, col, count, digits, found, head, keep_lines, letters, lines, lstrip, ratio, rstrip, strip, sub, tail, where
+from ..functions.text import any_of, bound, chars, chars_of, col, count, digits, found, head, keep_lines, letters, lines, lowered, lstrip, ratio, rstrip, strip, sub, tail, where
 
 START = r"(?:^|\n)"
 REFERENCES = r"(?:\n|^)(References|Bibliography|Works Cited)\b"
@@ -100,13 +102,34 @@ LICENCES = (
 )
 
 
+# One of these words is in the lower-cased text wherever the pattern matches; none is a quicker test than the pattern.
+NEEDLES = {
+    **{p: ("(",) for p in CITATIONS},
+    FIGURES[0]: ("fig", "table", "eq"),
+    FIGURES[1]: ("fig", "table"),
+    FIGURES[2]: ("figure ",),
+    FIGURES[3]: ("table ",),
+    SPECIAL_SECTIONS[0]: ("abstract", "acknowledgment", "funding", "conflict", "author contributions", "data availability"),
+    SPECIAL_SECTIONS[1]: ("appendix",),
+    URLS[0]: ("http",),
+    URLS[1]: ("www.",),
+    **dict(zip(INLINE_NOISE, (("article info",), ("article history:",), ("©",), ("*",), ("mail address",), ("david",), ("david",)), strict=True)),
+    **dict(zip(HEADERS_FOOTERS, (("page",), ("/",), ("vol",), ("issn",), ("doi:",)), strict=True)),
+    **dict(zip(BOILERPLATE, (("contents lists",), ("journal homepage",), ("a",), ("keyword",), ("received",), ("accepted",), ("available",)), strict=True)),
+}
+
+
 def _subs(c: str | Column, patterns: tuple[str, ...], to: str, flags: str) -> Column:
     c = col(c)
     for p in patterns:
-        c = sub(c, p, to, flags)
+        c = bound(c, _where_needed(p, to, flags)) if p in NEEDLES else sub(c, p, to, flags)
     return c
 
 
+def _where_needed(pattern: str, to: str, flags: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(any_of(lowered(t), NEEDLES[pattern]), sub(t, pattern, to, flags)).otherwise(t)
+
+
 def remove_citations(c: str | Column) -> Column:
     return _subs(c, CITATIONS, "", "")
 
@@ -155,15 +178,16 @@ def count_then_remove(df: DataFrame, text: str, counter: str, patterns: tuple[st
     """Adds `counter`, removes the patterns from `text`.
 
     Each count is of the text that the patterns before have left, or with count_first of the text
-    before any removal.  Every step is a column of its own, so no expression is repeated.
+    before any removal.  A pattern is tried only where one of its needles is, and its matches are
+    replaced only where there are any; every step is a column of its own, so none is repeated.
     """
-    if count_first:
-        df = df.withColumn(counter, sum((count(text, p, flags) for p in patterns), F.lit(0)))
-        return df.withColumn(text, _subs(text, patterns, "", flags))
-    df = df.withColumn(counter, F.lit(0))
+    df = df.withColumn(counter, F.lit(0)).withColumn("__before", F.col(text))
     for p in patterns:
-        df = df.withColumn(counter, F.col(counter) + count(text, p, flags)).withColumn(text, sub(text, p, "", flags))
-    return df
+        counted = "__before" if count_first else text
+        df = df.withColumn("__n", F.when(any_of(lowered(counted), NEEDLES[p]), count(counted, p, flags)).otherwise(F.lit(0)))
+        df = df.withColumn(text, F.when(F.lit(True) if count_first and p != patterns[0] else F.col("__n") > 0, sub(text, p, "", flags)).otherwise(F.col(text)))
+        df = df.withColumn(counter, F.col(counter) + F.col("__n"))
+    return df.drop("__n", "__before")
 
 
 def remove_noisy_lines(c: str | Column) -> Column:
@@ -175,14 +199,16 @@ def remove_toc_lines(c: str | Column) -> Column:
     return keep_lines(c, lambda line, s: ~(found(line, leaders) | (found(line, section) & found(line, number))))
 
 
-SYMBOLS = r"[/\\|%_=+\[\]()<>:;,*]"
+# What tables are full of, and phrases of their lines.
+SYMBOLS = r"/\|%_=+[]()<>:;,*"
+MARKERS = ("/C2", "FDA approval", "Scanner system", "Summary of ")
 
 
 def is_dense_table_line(s: Column) -> Column:
     n = F.greatest(F.length(s), F.lit(1))
-    markers = any_of(s, ("/C2", "FDA approval", "Scanner system", "Summary of "))
-    upper = ratio(count(s, r"\p{IsUppercase}"), letters(s))
-    return markers | ((n > 60) & (digits(s) / n > 0.15) & (count(s, SYMBOLS) / n > 0.08) & (upper > 0.45))
+    markers = any_of(s, MARKERS)
+    upper = bound(letters(s), lambda alpha: ratio(chars(s, r"\p{IsUppercase}"), alpha))
+    return markers | ((n > 60) & (digits(s) / n > 0.15) & (chars_of(s, SYMBOLS) / n > 0.08) & (upper > 0.45))
 
 
 def remove_dense_table_lines(c: str | Column) -> Column:
@@ -190,14 +216,17 @@ def remove_dense_table_lines(c: str | Column) -> Column:
 
 
 def is_garbled_line(s: Column) -> Column:
-    n, alpha = F.length(s), letters(s)
-    lower = ratio(count(s, r"[\p{L}&&\p{IsLowercase}]"), alpha, 1.0)
-    vowels = ratio(count(s, "[aeiouAEIOU]"), alpha, 1.0)
-    weird, foreign = ratio(count(s, "[ÂÃÅÆÍ¿€‰]"), n), ratio(count(s, r"[^\x00-\x7F]"), n)
-    ciphered = (alpha >= 25) & (lower < 0.18) & (vowels < 0.22)
-    mojibake = ((weird > 0.08) | (foreign > 0.25)) & (n >= 20)
-    encoded = (count(s, r"\b[A-Z0-9]{6,}\b") >= 2) & (n >= 20) & (lower < 0.45)
-    return ciphered | mojibake | encoded
+    n = F.length(s)
+    rare = (chars_of(s, "ÂÃÅÆÍ¿€‰") / n > 0.08) | (chars(s, r"[^\x00-\x7F]") / n > 0.25)
+    mojibake = (n >= 20) & (F.octet_length(s) > n) & rare
+
+    def by_case(m: Column) -> Column:
+        lower = ratio(m["lower"], m["alpha"], 1.0)
+        ciphered = (m["alpha"] >= 25) & (lower < 0.18) & (ratio(chars(s, "[aeiouAEIOU]"), m["alpha"], 1.0) < 0.22)
+        return ciphered | ((lower < 0.45) & (count(s, r"\b[A-Z0-9]{6,}\b") >= 2))
+
+    # 25 letters or the 20 characters of an encoded line make a line of 20 at least
+    return (n >= 20) & (mojibake | bound(F.struct(letters(s).alias("alpha"), chars(s, r"[\p{L}&&\p{IsLowercase}]").alias("lower")), by_case))
 
 
 def remove_garbled_lines(c: str | Column) -> Column:
@@ -225,30 +254,41 @@ def is_table_break(s: Column) -> Column:
     """Blank, a section heading, or plainly narrative."""
     heading = found(s, r"^(Introduction|Methods?|Results?|Discussion|Conclusion|References)\b", "i")
     narrative = (count(s, "[A-Za-z]{2,}") >= 14) & F.endswith(s, F.lit(".")) & (letters(s) > 60)
-    return (s == "") | heading | (narrative & (count(s, SYMBOLS) / F.greatest(F.length(s), F.lit(1)) < 0.07))
+    return (s == "") | heading | (narrative & (chars_of(s, SYMBOLS) / F.greatest(F.length(s), F.lit(1)) < 0.07))
 
 
 def remove_table_blocks(c: str | Column) -> Column:
     """From a line that names a table to the next break line; a long prefix of the first line stays.
 
-    A fold over the lines: `inside` opens at a start, closes at a break, and a break that is a
-    start opens again.
+    Two flags per line; then one pass over the flags alone gives what each line is: 0 outside, 1 the
+    first line of a block, 2 inside.  A block opens at a start and closes at a break; a break that
+    is a start opens again.
     """
     prefix = lambda s: strip(head(s, where(s, r"\bTable\s+\d+\b", "i").cast("int")))
     spaces = lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
-
-    def step(a, line):
-        s = strip(line)
-        inside = a["inside"] & ~is_table_break(s)
-        start = ~inside & is_table_start(s)
-        p = prefix(s)
-        new = F.when(inside, F.array().cast("array<string>")).when(
-            start, F.when((F.length(p) >= 50) & (spaces(p) >= 8), F.array(p)).otherwise(F.array().cast("array<string>"))
-        ).otherwise(F.array(line))
-        return F.struct((inside | start).alias("inside"), F.concat(a["out"], new).alias("out"))
-
-    done = F.aggregate(lines(c), F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out")), step)
-    return F.array_join(done["out"], "\n")
+    flag = lambda line: bound(strip(line), lambda s: F.when(is_table_start(s), 1).otherwise(0) + F.when(is_table_break(s), 2).otherwise(0))
+
+    def kept(rows: Column) -> Column:
+        return bound(F.transform(rows, flag), lambda flags: F.when(F.exists(flags, lambda f: f % 2 == 1), F.array_join(cut(rows, flags), "\n")).otherwise(F.array_join(rows, "\n")))
+
+    def cut(rows: Column, flags: Column) -> Column:
+        # the state before a line is that of the last line with a flag; a start inside a block is no start
+        states = F.aggregate(
+            flags,
+            F.struct(F.lit(False).alias("inside"), F.lit("").alias("states")),
+            lambda a, f: bound(
+                a["inside"] & (f < 2),
+                lambda inside: F.struct((inside | (f % 2 == 1)).alias("inside"), F.concat(a["states"], F.when(inside, "2").when(f % 2 == 1, "1").otherwise("0")).alias("states")),
+            ),
+            lambda a: a["states"],
+        )
+        state = lambda of, i: F.substring(of, i + 1, F.lit(1))
+        line = lambda of, x, i: F.when(state(of, i) == "0", x).when(
+            state(of, i) == "1", bound(prefix(strip(x)), lambda p: F.when((F.length(p) >= 50) & (spaces(p) >= 8), p))
+        )
+        return bound(states, lambda of: F.array_compact(F.transform(rows, lambda x, i: line(of, x, i))))
+
+    return bound(lines(c), kept)
 
 
 def strip_front_matter(c: str | Column, title: str | Column) -> Column:
