@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.text import col
+from ..functions.text import bound, col
 
 
 class Tagger(Protocol):
@@ -34,6 +36,28 @@ class GazetteerTagger:
         return [[(self.labels[m[0].lower()], 1.0, m[0].lower(), m.start(), m.end()) for m in self.pattern.finditer(c or "")] for c in chunks]
 
 
+class LoadedTagger:
+    """A tagger that each worker makes once, by make(): a model is loaded there, on the worker's device, and never pickled."""
+
+    made: dict[str, Tagger] = {}
+
+    def __init__(self, make: Callable[[], Tagger]):
+        self.make, self.name = make, uuid.uuid4().hex
+
+    def __call__(self, chunks: list[str]) -> list[list[tuple[str, float, str, int, int]]]:
+        if self.name not in LoadedTagger.made:
+            LoadedTagger.made[self.name] = self.make()
+        return LoadedTagger.made[self.name](chunks)
+
+
+def hashed_vectors(rows: DataFrame, size: int = 64, entity: str = "entity") -> DataFrame:
+    """rows with `embedding`: the mean of fixed pseudo-random vectors of the entity's words; a stand-in for a model's states."""
+    words = F.filter(F.split(F.lower(entity), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    value = lambda w, d: F.xxhash64(w, d).cast("double") / 2.0**63
+    mean = lambda ws, d: F.aggregate(ws, F.lit(0.0), lambda a, w: a + value(w, d)) / F.greatest(F.size(ws), F.lit(1))
+    return rows.withColumn("embedding", bound(words, lambda ws: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: mean(ws, d).cast("float"))))
+
+
 def tagged(chunks: DataFrame, tagger: Tagger, chunk: str = "chunk") -> DataFrame:
     """chunks and `entities`; the tagger sees Arrow batches of whole chunks."""
     schema = T.StructType([*chunks.schema.fields, T.StructField("entities", T.ArrayType(schemas.ENTITY))])
@@ -47,15 +71,26 @@ def tagged(chunks: DataFrame, tagger: Tagger, chunk: str = "chunk") -> DataFrame
     return chunks.mapInPandas(run, schema)
 
 
-def gazetteer_hits(chunks: DataFrame, terms: dict[str, str], pattern: str = "[A-Za-z]+") -> DataFrame:
-    """chunks' keys with (k, entity, label), one row per token that is a term; expressions only.
+def windowed_hits(texts: DataFrame, terms: dict[str, str], size: int = 320, overlap: int = 25, pattern: str = "[A-Za-z]+", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep..., chunk_index, word, part, entity, label): the terms among the tokens of word windows.
 
-    The terms are a literal map of the plan, so their number is the caller's to bound.
+    The windows are those of word_windows, but none is made: each word is cut into tokens once, and
+    a hit counts in every window that has its word.  The terms are literals of the plan, so their
+    number is the caller's to bound.
     """
+    step = size - overlap
+    w = F.split(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+")
+    texts = texts.select(*keep, w.alias("__w"))
+    blank = (F.get("__w", F.lit(0)) == "").cast("int")
+    n = F.size("__w") - blank - F.when((F.size("__w") > 1) & (F.element_at("__w", -1) == ""), 1).otherwise(0)
+    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))).cast("int")
+    words = texts.select(*keep, last.alias("last"), blank.alias("blank"), F.posexplode("__w").alias("at", "word_text"))
+    words = words.select(*keep, "last", (F.col("at") - F.col("blank")).alias("word"), F.posexplode(F.regexp_extract_all("word_text", F.lit(pattern), F.lit(0))).alias("part", "entity"))
+    hits = words.where(F.lower("entity").isin(list(terms)))
     label = F.create_map(*[F.lit(x) for kv in terms.items() for x in kv])
-    tokens = F.regexp_extract_all("chunk", F.lit(pattern), F.lit(0))
-    kept = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("k"), t.alias("entity"))), lambda s: F.array_contains(F.array(*map(F.lit, terms)), F.lower(s["entity"])))
-    return chunks.select(*[c for c in chunks.columns if c != "chunk"], F.inline(kept)).withColumn("label", F.element_at(label, F.lower("entity")))
+    first = F.greatest(F.lit(0), F.ceil((F.col("word") - (size - 1)) / F.lit(step))).cast("int")
+    chunks = F.explode(F.sequence(first, F.least("last", F.floor(F.col("word") / step).cast("int"))))
+    return hits.select(*keep, chunks.alias("chunk_index"), "word", "part", "entity", F.element_at(label, F.lower("entity")).alias("label"))
 
 
 def tag_islands(tokens: DataFrame, keys: list[str], order: str = "k") -> DataFrame:

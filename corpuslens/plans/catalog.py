@@ -276,12 +276,6 @@ def word_chunks(spark, sf):
     return segment.word_windows(table(spark, sf, "documents")).select("doc_id", "chunk_index", *short("chunk"))
 
 
-@query()
-def sentence_pack(spark, sf):
-    docs = table(spark, sf, "documents")
-    return segment.exploded(docs, segment.pack_sentences("text"))
-
-
 @query(r"""
 WITH p AS (SELECT doc_id, trim(text[k * 450 + 1:k * 450 + 450], E' \t\n\r') AS text, k
   FROM (SELECT doc_id, text, unnest(generate_series(0, (greatest(length(text), 1) - 1) // 450)) AS k FROM documents)),
@@ -305,16 +299,6 @@ def systematic_sample(spark, sf):
 _BLANKS = by_turn("\n\nSecond part that is long enough to stay as a paragraph of its own.\n\n12345", "\n\nshort\n\nAnother paragraph, of fifty characters or so, to keep here.", "")
 
 
-@query()
-def paragraphs_txt(spark, sf):
-    return segment.exploded(decorated(spark, sf, _BLANKS[0]), segment.paragraphs("text"))
-
-
-@query()
-def paragraphs_pdf(spark, sf):
-    return segment.exploded(decorated(spark, sf, _BLANKS[0]), segment.paragraphs("text", pdf=True))
-
-
 @query(r"""
 WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'TITLE: A title' || chr(10) WHEN 1 THEN 'first' || chr(10) || chr(10) ELSE '' END || text AS text FROM documents),
 b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_concat(['TITLE: A title'], string_split_regex(regexp_replace(text, '^TITLE: A title\n', ''), '\n\s*\n')) ELSE string_split_regex(text, '\n\s*\n') END AS p FROM t),
@@ -483,7 +467,7 @@ _line_query(
     "garbled_filter", by_turn("\nXKCDQRT7 BZPFGH9K LMNPQRSTVW XZ", "\nÂÃÅÆÍ¿€‰ some words here too", "\nplain"), removal.remove_garbled_lines,
     rf"s <> '' AND (({_n(r'\pL')} >= 25 AND {_n(r'\p{Ll}')} / greatest({_n(r'\pL')}, 1) < 0.18 AND {_n('[aeiouAEIOU]')} / greatest({_n(r'\pL')}, 1) < 0.22)"
     rf" OR (({_n('[ÂÃÅÆÍ¿€‰]')} / length(s) > 0.08 OR {_n(r'[^\x00-\x7F]')} / length(s) > 0.25) AND length(s) >= 20)"
-    rf" OR ({_n(r'\b[A-Z0-9]{6,}\b')} >= 2 AND length(s) >= 20 AND CASE WHEN {_n(r'\pL')} > 0 THEN {_n(r'\p{Ll}')} / {_n(r'\pL')} ELSE 1 END < 0.45))",
+    rf" OR (len(list_filter(string_split_regex(s, '[^\pL\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z0-9]{{6,}}'))) >= 2 AND length(s) >= 20 AND CASE WHEN {_n(r'\pL')} > 0 THEN {_n(r'\p{Ll}')} / {_n(r'\pL')} ELSE 1 END < 0.45))",
 )
 
 
@@ -542,12 +526,6 @@ def line_char_metrics(spark, sf):
 _STATS = by_turn("\nsee http://www.a.org/b (Smith, 2020) Fig. 3 shows x. end", "\nFunding by all\nwww.x.y z", "\nReferences\n[1] x")
 
 
-@query()
-def clean_stats(spark, sf):
-    done = clean.clean_txt(decorated(spark, sf, _STATS[0]))
-    return clean.report(done).withColumn("percent_removed", F.round("percent_removed", 4))
-
-
 @query()
 def clean_pdf_profile(spark, sf):
     head = F.lit("Contents lists available at ScienceDirect\nLearning methods for large document collections\nJohn Smith, Mary Jones\nIntroduction\n")
@@ -597,16 +575,6 @@ def _span_rows(spark, sf):
     return c.withColumn("ranges", spans.assigned_spans("text", "ents"))
 
 
-@query()
-def span_assign(spark, sf):
-    return _span_rows(spark, sf).select("conv_id", "turn", F.to_json("ranges").alias("ranges"))
-
-
-@query()
-def highlight_html(spark, sf):
-    return _span_rows(spark, sf).select("conv_id", "turn", F.md5(spans.highlighted("text", "ranges").cast("binary")).alias("html_md5"))
-
-
 # ---- articles
 
 

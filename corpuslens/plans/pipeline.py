@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clean import clean
-from ..operators.entities import GazetteerTagger, Tagger, entity_rows, gazetteer_hits, tagged, text_results, with_ids
+from ..operators.entities import GazetteerTagger, Tagger, entity_rows, tagged, text_results, windowed_hits, with_ids
 from ..operators.frequency import entity_frequency, sized
 from ..operators.segment import exploded, paragraphs, word_windows
 
@@ -30,5 +30,5 @@ def entities_of(texts: DataFrame, tagger: Tagger | dict[str, str]) -> tuple[Data
 
 def term_frequencies(docs: DataFrame, terms: dict[str, str]) -> DataFrame:
     """(key, entity, frequency, label, size): the terms of all documents' word windows, expressions only."""
-    hits = gazetteer_hits(word_windows(docs), terms)
-    return sized(entity_frequency(hits, order=F.struct("doc_id", "chunk_index", "k"), centroid=False))
+    hits = windowed_hits(docs, terms)
+    return sized(entity_frequency(hits, order=F.struct("doc_id", "chunk_index", "word", "part"), centroid=False))
