@@ -5,11 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 from pyspark.sql import functions as F
 
 from .operators.articles import progress_row
-from .operators.project import pca_points, points, tsne_points
+from .operators.entities import hashed_vectors
+from .operators.project import pca_points, points, projected
 from .plans.pipeline import article_paragraphs, entities_of
 from .session import session
 from .sources import readers, sinks
@@ -37,14 +39,33 @@ def run(args: argparse.Namespace) -> int:
         texts = readers.article_texts(_documents(spark, args.article).select("doc_id", "text"))
     else:
         texts = readers.texts_frame(spark, args.text or None)
+    n, began, steps = texts.count(), time.time(), []
+
+    def progress(stage: str, percent: int, done: int = 0, found: int | None = None) -> None:
+        """The steps so far, the last one with the time that is left at this pace."""
+        if args.progress_file:
+            eta = int((time.time() - began) * (100 - percent) / percent) if percent else None
+            steps.append(progress_row(args.output, len(steps), stage, percent, done, n, eta, found))
+            sinks.write_document(spark.createDataFrame(steps, readers.schemas.PROGRESS), args.progress_file)
+
+    progress("queued", 0)
+    progress("loading", 5)
     rows, results = entities_of(texts, terms)
-    sinks.write_json(results.join(texts, ["doc_id", "text_index"]), args.output)
+    results = texts.join(results, ["doc_id", "text_index"], "left").orderBy("doc_id", "text_index")
+    results = results.select("text", F.coalesce("entities", F.array().cast(results.schema["entities"].dataType)).alias("entities"))
+    sinks.write_document(results, args.output)
+    found = rows.count()
+    progress("ner", 75, n, found)
     if args.entities:
         rows.write.mode("overwrite").parquet(args.entities)
-    if args.progress_file:
-        n = texts.count()
-        done = [progress_row(args.output, 1, "completed", 100, n, n, 0, rows.count())]
-        sinks.write_json(spark.createDataFrame(done, readers.schemas.PROGRESS), args.progress_file)
+    if args.embeddings or args.tsne_output:
+        vectors = hashed_vectors(rows.withColumn("article", F.lit(0)))
+        if args.embeddings:
+            sinks.write_embeddings(vectors.select(*readers.schemas.EMBEDDED.names), args.embeddings)
+        if args.tsne_output:
+            progress("tsne", 85, n, found)
+            sinks.write_document(points(projected(vectors, "embedding", "article", "id")).orderBy("id"), args.tsne_output)
+    progress("completed", 100, n, found)
     return 0
 
 
@@ -52,11 +73,10 @@ def project(args: argparse.Namespace) -> int:
     spark = session()
     rows = readers.read_embeddings(spark, args.embeddings)
     if args.method == "tsne":
-        xy = tsne_points(rows.withColumn("article", F.lit(0)), "embedding", "article", "id").drop("article")
-        rows = rows.join(xy, "id")
+        rows = projected(rows.withColumn("article", F.lit(0)), "embedding", "article", "id")
     else:
         rows = pca_points(rows, "embedding")
-    sinks.write_json(points(rows), args.output)
+    sinks.write_document(points(rows).orderBy("id"), args.output)
     return 0
 
 
@@ -74,6 +94,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--terms", required=True, help="a JSON object: term to label")
     p.add_argument("--output", required=True)
     p.add_argument("--entities")
+    p.add_argument("--embeddings", help="Parquet of entity vectors")
+    p.add_argument("--tsne-output", help="JSON document of points")
     p.add_argument("--progress-file")
     p.set_defaults(do=run)
     p = commands.add_parser("project", help="project embeddings to points")

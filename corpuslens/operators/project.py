@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -54,8 +55,13 @@ def pca_points(df: DataFrame, vector: str) -> DataFrame:
     return pca(df, vector, 2).withColumns({"x": F.get("pc", F.lit(0)), "y": F.get("pc", F.lit(1))}).drop("pc")
 
 
-def tsne_layout(x: np.ndarray, perplexity: float, iterations: int = 600, patience: int = 200, seed: int = 42) -> np.ndarray:
-    """Exact t-SNE in numpy, started from the first two columns of x."""
+def in_time(until: float) -> None:
+    if time.monotonic() > until:
+        raise TimeoutError("the layout takes too long")
+
+
+def tsne_layout(x: np.ndarray, perplexity: float, iterations: int = 600, patience: int = 200, seed: int = 42, until: float = math.inf) -> np.ndarray:
+    """Exact t-SNE in numpy, started from the first two columns of x; TimeoutError after `until` of the monotonic clock."""
     n = len(x)
     d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
@@ -82,6 +88,7 @@ def tsne_layout(x: np.ndarray, perplexity: float, iterations: int = 600, patienc
     step, gain, speed = max(n / 12 / 4, 50.0), np.ones_like(y), np.zeros_like(y)
     best, since = np.inf, 0
     for it in range(iterations):
+        in_time(until)
         early = 12.0 if it < 250 else 1.0
         w = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(-1))
         np.fill_diagonal(w, 0)
@@ -148,7 +155,7 @@ def repulsion(y: np.ndarray) -> tuple[np.ndarray, float]:
     return force, total
 
 
-def tsne_layout_large(x: np.ndarray, perplexity: float, iterations: int = 600, patience: int = 200, seed: int = 42) -> np.ndarray:
+def tsne_layout_large(x: np.ndarray, perplexity: float, iterations: int = 600, patience: int = 200, seed: int = 42, until: float = math.inf) -> np.ndarray:
     """tsne_layout() without a square matrix: affinities of nearest rows, exact repulsion in blocks."""
     n = len(x)
     i, j, p = neighbour_affinities(x, perplexity)
@@ -157,6 +164,7 @@ def tsne_layout_large(x: np.ndarray, perplexity: float, iterations: int = 600, p
     step, gain, speed = max(n / 12 / 4, 50.0), np.ones_like(y), np.zeros_like(y)
     best, since = np.inf, 0
     for it in range(iterations):
+        in_time(until)
         early = 12.0 if it < 250 else 1.0
         d = y[i] - y[j]
         w = 1 / (1 + (d * d).sum(1))
@@ -175,9 +183,12 @@ def tsne_layout_large(x: np.ndarray, perplexity: float, iterations: int = 600, p
     return y - y.mean(0)
 
 
-def tsne_points(df: DataFrame, vector: str, article: str, id_col: str, most: int = 500) -> DataFrame:
+def tsne_points(df: DataFrame, vector: str, article: str, id_col: str, most: int = 500, seconds: float = math.inf) -> DataFrame:
     """df's article, id with x, y: t-SNE per article, exact up to `most` rows.
 
+    An article that takes over `seconds`, or whose layout fails, gets its first two principal
+    components; by default there is no such limit, and every run gives the same points.
+
     Each article is one task.  What an article may hold is bounded by its paragraphs; an article
     of over `most` rows has affinities of nearest rows only, and no square matrix of its rows.
     """
@@ -194,13 +205,21 @@ def tsne_points(df: DataFrame, vector: str, article: str, id_col: str, most: int
             u, w, _ = np.linalg.svd(x, full_matrices=False)
             x = (u * w)[:, : min(30, n - 1)]
             x = x if x.shape[1] > 1 else np.pad(x, ((0, 0), (0, 1)))
-            y = (tsne_layout if n <= most else tsne_layout_large)(x, min(5, n - 1))
+            try:
+                y = (tsne_layout if n <= most else tsne_layout_large)(x, min(5, n - 1), until=time.monotonic() + seconds)
+            except (TimeoutError, ArithmeticError, np.linalg.LinAlgError):
+                y = x[:, :2]
         return pd.DataFrame({article: pdf[article], id_col: pdf[id_col], "x": y[:, 0], "y": y[:, 1]})
 
     kept = df.select(article, id_col, vector)
     return kept.groupBy(article).applyInPandas(run, f"{article} {df.schema[article].dataType.simpleString()}, {id_col} {df.schema[id_col].dataType.simpleString()}, x double, y double")
 
 
+def projected(df: DataFrame, vector: str, article: str, id_col: str, seconds: float = 45) -> DataFrame:
+    """df with x, y by t-SNE per article, or by its principal components where that fails or takes over `seconds`."""
+    return df.join(tsne_points(df, vector, article, id_col, seconds=seconds), [article, id_col])
+
+
 def points(projected: DataFrame) -> DataFrame:
     """The point table's columns, in their order and types."""
     from .. import schemas

@@ -49,19 +49,20 @@ def pdf_pages(content: bytes) -> tuple[list[str], str | None]:
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, title_hint, first_page, pages, source_type): one row per .pdf file; needs a PDF library.
 
-    Pages with text have their spacing fixed and are joined by blank lines.
+    Pages with text have their spacing fixed and are joined by blank lines; first_page is the very
+    first one as it is, which may be empty.
     """
     from ..functions.normalize import fix_spacing
 
     def run(batches):
         for pdf in batches:
             rows = [(p, *pdf_pages(bytes(c))) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
-            yield pd.DataFrame({"path": [r[0] for r in rows], "page_texts": [[x for x in r[1] if x] for r in rows], "title_hint": [r[2] for r in rows], "pages": [len(r[1]) for r in rows]})
+            yield pd.DataFrame({"path": [r[0] for r in rows], "page_texts": [[x for x in r[1] if x] for r in rows], "first_page": [next(iter(r[1]), None) for r in rows], "title_hint": [r[2] for r in rows], "pages": [len(r[1]) for r in rows]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
-    rows = files.select("path", "content").mapInPandas(run, "path string, page_texts array<string>, title_hint string, pages int")
+    rows = files.select("path", "content").mapInPandas(run, "path string, page_texts array<string>, first_page string, title_hint string, pages int")
     text = F.array_join(F.transform("page_texts", fix_spacing), "\n\n")
-    return rows.select("path", text.alias("text"), "title_hint", F.get("page_texts", F.lit(0)).alias("first_page"), "pages", F.lit("pdf").alias("source_type"))
+    return rows.select("path", text.alias("text"), "title_hint", "first_page", "pages", F.lit("pdf").alias("source_type"))
 
 
 def source_type(path: str):

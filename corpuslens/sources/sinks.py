@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import textwrap
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,21 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     _writer(df, mode).json(path)
 
 
+def write_document(df: DataFrame, path: str) -> None:
+    """One indented JSON array, as viewers read it: for the rows of one article, which the driver streams in order."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out, mark = to.getFileSystem(conf).create(to, True), "["
+    try:
+        for row in df.toLocalIterator():
+            text = json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2, default=str)
+            out.write(bytearray((mark + "\n" + textwrap.indent(text, "  ")).encode()))
+            mark = ","
+        out.write(bytearray(b"[]" if mark == "[" else b"\n]"))
+    finally:
+        out.close()
+
+
 def write_embeddings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     _writer(df, mode).parquet(path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..operators.articles import percent_of
+from ..operators.articles import latest, percent_of
 
 
 def progress_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +22,10 @@ def latest_progress(progress: DataFrame) -> DataFrame:
 
 
 def run_to_table(latest: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch's changed articles replace `path`'s version of the batch: exactly once by batch id."""
+    """Each batch's changed articles replace `path`'s version of the batch: exactly once by batch id.
+
+    The folder is a log, which newest() reads as a table.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -30,6 +33,11 @@ def run_to_table(latest: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return latest.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per article of what run_to_table has written: that of the last batch."""
+    return latest(spark.read.parquet(path), ["article_id"], "batch").drop("batch")
+
+
 def landed_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text): whole text files as they land in a folder."""
     files = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.txt").load(folder)
