@@ -2,12 +2,16 @@
 that was never seen falls back to its character n-grams, from the longest order down, and takes
 the first order of which any n-gram is known.
 
-The model is fitted on a sample of at most `max_docs` labelled rows (those with the smallest hash
-of doc_id) and keeps at most `max_entries` words and as many n-grams, the most frequent ones; so
-its size is bounded whatever the corpus.  Prediction reads the text only.
+The model is fitted on a sample of labelled rows: those with the smallest hashes of doc_id, as
+long as there are at most `max_docs` of them with at most `max_chars` characters; so its size is
+bounded whatever the corpus.  Every word and n-gram of the sample counts.  Prediction reads the
+text only.
 
 Defined results: null text or text without a letter -> `und`, score 0.  Nothing to learn from ->
 `und` for all.  Ties go to the language that sorts first.  Very long texts count as whole texts.
+Rows that repeat a doc_id are in the sample together or not at all, each is predicted by its own
+text; a null doc_id is never sampled.  An empty table gives an empty result.  Other columns stay
+as they are; those named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -36,40 +40,41 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class LanguageModel:
-    """languages, and per word and n-gram a row of log probabilities, one column per language."""
+    """languages, and the rows of words and of n-grams in a matrix of log probabilities, one column per language."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], ngrams: dict[str, np.ndarray]):
-        self.languages, self.words, self.ngrams = languages, words, ngrams
+    def __init__(self, languages: list[str], words: dict[str, int], ngrams: dict[str, int], rows: np.ndarray):
+        self.languages, self.words, self.ngrams, self.rows = languages, words, ngrams, rows
 
     @classmethod
-    def from_counts(cls, rows: list[tuple[str, bool, str, int]]) -> LanguageModel:
-        """rows: (lang, is_word, entry, count)."""
-        languages = sorted({r[0] for r in rows})
+    def from_counts(cls, langs: list[str], is_word: list[bool], entries: list[str], counts: list[int]) -> LanguageModel:
+        """Columns of equal length: a language, whether the entry is a word, the entry, its count."""
+        languages = sorted(set(langs))
         column = {x: i for i, x in enumerate(languages)}
-        tables: dict = {True: defaultdict(lambda: np.zeros(len(languages))), False: defaultdict(lambda: np.zeros(len(languages)))}
-        totals: dict = defaultdict(lambda: np.zeros(len(languages)))
-        sizes: Counter = Counter()
-        for lang, is_word, entry, n in rows:
-            tables[is_word][entry][column[lang]] += n
-            totals[is_word, 0 if is_word else len(entry)][column[lang]] += n
-        for is_word, table in tables.items():
-            for entry in table:
-                sizes[is_word, 0 if is_word else len(entry)] += 1
-        for is_word, table in tables.items():
-            for entry in table:
-                k = (is_word, 0 if is_word else len(entry))
-                p = np.log((table[entry] + 0.1) / (totals[k] + 0.1 * sizes[k]))
-                table[entry] = p - p.mean()
-        return cls(languages, dict(tables[True]), dict(tables[False]))
+        at: dict[bool, dict[str, int]] = {True: {}, False: {}}
+        kinds: list[int] = []  # per row: 0 for words, else the n-gram's order
+        place = np.empty(len(counts), np.int64)
+        for i, (word, entry) in enumerate(zip(is_word, entries, strict=True)):
+            row = at[word].get(entry)
+            if row is None:
+                row = at[word][entry] = len(kinds)
+                kinds.append(0 if word else len(entry))
+            place[i] = row
+        rows = np.zeros((len(kinds), len(languages)))
+        np.add.at(rows, (place, [column[x] for x in langs]), counts)
+        kind = np.array(kinds, np.int64)
+        for k in np.unique(kind):
+            own = kind == k
+            rows[own] = np.log((rows[own] + 0.1) / (rows[own].sum(axis=0) + 0.1 * own.sum()))
+        return cls(languages, at[True], at[False], rows - rows.mean(axis=1, keepdims=True))
 
     def word(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is not None:
-            return got
+        at = self.words.get(word)
+        if at is not None:
+            return self.rows[at]
         for n in ORDERS:
             known = [g for g in map(self.ngrams.get, grams(word, n)) if g is not None]
             if known:
-                return sum(known[1:], known[0]) / len(known)
+                return self.rows[known].mean(axis=0)
         return np.zeros(len(self.languages))
 
     def scorer(self, most: int = 200_000):
@@ -100,10 +105,33 @@ class LanguageModel:
         return score
 
 
-def fit(docs: DataFrame, max_docs: int = 4000, max_entries: int = 150_000) -> LanguageModel:
+def sampled(docs: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
+    """(text, lang) of the labelled rows with the smallest hashes of doc_id, within the bounds; no task gathers them.
+
+    First the number of labelled rows gives a share of the hashes that holds about twice the sample;
+    of those, the hashes that fit are picked one by one.
+    """
+    labelled = docs.where("doc_id is not null and lang is not null").select(F.xxhash64("doc_id").alias("h"), "text", "lang")
+    n = labelled.count()
+    below = -(2**63) + int(2**64 * min(1.0, 2 * max_docs / max(n, 1))) - 1
+    near = labelled.where(F.col("h") <= below)
+    sizes = near.groupBy("h").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    docs_left, chars_left, last, passed = max_docs, max_chars, -(2**63), []
+    for r in sorted(sizes.collect()):  # about 2 * max_docs rows
+        if r["n"] <= docs_left and r["chars"] <= chars_left:
+            docs_left, chars_left, last = docs_left - r["n"], chars_left - r["chars"], r["h"]
+        else:
+            passed.append(r["h"])
+    near = near.where(F.col("h") <= last)
+    passed = [h for h in passed if h < last]
+    if passed:
+        passed = docs.sparkSession.createDataFrame([(h,) for h in passed], "h long")
+        near = near.join(F.broadcast(passed), "h", "left_anti")
+    return near.where("text is not null").select("text", "lang")
+
+
+def fit(docs: DataFrame, max_docs: int = 4000, max_chars: int = 50_000_000) -> LanguageModel:
     """docs: (doc_id, text, lang), training rows only; see the module's text for the bounds."""
-    sample = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).repartition(8)
 
     def count(batches):
         found: Counter = Counter()
@@ -116,20 +144,16 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_entries: int = 150_000) -> La
                             found[lang, False, g] += k
         if found:
             lang, is_word, entry = zip(*found, strict=True)
+            n = list(found.values())
             for i in range(0, len(lang), 50_000):
                 j = i + 50_000
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lang[i:j]), pa.array(is_word[i:j]), pa.array(entry[i:j]), pa.array(list(found.values())[i:j])], names=["lang", "is_word", "entry", "n"]
+                    [pa.array(lang[i:j]), pa.array(is_word[i:j]), pa.array(entry[i:j]), pa.array(n[i:j])], names=["lang", "is_word", "entry", "n"]
                 )
 
-    counts = sample.mapInArrow(count, "lang string, is_word boolean, entry string, n long").groupBy("lang", "is_word", "entry").agg(F.sum("n").alias("n"))
-    counts = counts.where("n > 1 or not is_word").persist()
-    rows = []
-    for is_word in (True, False):
-        top = counts.where(F.col("is_word") == is_word).orderBy(F.desc("n"), "entry", "lang").limit(max_entries)
-        rows += [tuple(r) for r in top.select("lang", "is_word", "entry", "n").collect()]
-    counts.unpersist()
-    return LanguageModel.from_counts(rows)
+    counts = sampled(docs, max_docs, max_chars).mapInArrow(count, "lang string, is_word boolean, entry string, n long")
+    counts = counts.groupBy("lang", "is_word", "entry").agg(F.sum("n").alias("n"))
+    return LanguageModel.from_counts(*(c.to_pylist() for c in counts.toArrow().columns))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
