@@ -5,6 +5,8 @@ assistant's turns that the loss may see.  Everything else is masked.
 Defined results: turns are ordered by turn, then role, then text; repeated rows stay.  A null role
 reads `unknown`, a null text is empty.  Turns of a null conv_id belong to no conversation.  Two
 conversations that are equal, or of which one is the other's prefix, give an empty completion.
+An empty table gives an empty result; other columns are not read.  A conversation of any length is
+one row.
 """
 
 from __future__ import annotations
@@ -55,10 +57,11 @@ def formatted(pairs: DataFrame) -> DataFrame:
 
     pairs: (pair_id, chosen, rejected), both arrays of struct<role, text>.
     """
-    differ = F.array_position(F.zip_with("chosen", "rejected", lambda a, b: a.eqNullSafe(b)), False)
-    common = F.when(differ > 0, differ - 1).otherwise(F.size("chosen")).cast("int")
+    shorter = F.least(F.size("chosen"), F.size("rejected"))
+    differ = F.array_position(F.zip_with(F.slice("chosen", F.lit(1), shorter), F.slice("rejected", F.lit(1), shorter), lambda a, b: a.eqNullSafe(b)), False)
+    common = F.when(differ > 0, differ - 1).otherwise(shorter).cast("int")
     pairs = pairs.withColumn("n_prompt_turns", common)
-    rest = lambda c: F.slice(c, F.col("n_prompt_turns") + 1, F.size(c))
+    rest = lambda c: F.slice(c, F.col("n_prompt_turns") + 1, F.greatest(F.size(c), F.lit(1)))
     return pairs.select(
         "pair_id",
         "n_prompt_turns",
@@ -70,18 +73,19 @@ def formatted(pairs: DataFrame) -> DataFrame:
     )
 
 
-def swapped_last_turns(turns: DataFrame) -> DataFrame:
-    """(pair_id, chosen, rejected): each conversation, against itself with the last turn's text of
-    its neighbour (conv_id with the lowest bit flipped) in place of its own last text.
+def neighbour_branches(turns: DataFrame) -> DataFrame:
+    """(pair_id, chosen, rejected): each conversation, and a branch of it that goes on as another does.
 
-    Without a neighbour the rejected conversation lacks the last turn.
+    The branch keeps the first conv_id mod (turns + 1) turns; what the neighbour (conv_id with the
+    lowest bit flipped) has after as many turns follows.  So the two part at any turn, at once, at the
+    end or never, and a branch may be the longer or the shorter one.  Without a neighbour nothing follows.
     """
     mine = gathered(turns)
-    last = mine.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.element_at("turns", -1)["text"].alias("other"))
-    kept = F.slice("turns", 1, F.size("turns") - 1)
-    new = F.array(F.struct(F.element_at("turns", -1)["role"].alias("role"), F.col("other").alias("text")))
-    return mine.join(last, "conv_id", "left").select(
+    other = mine.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("turns").alias("other"))
+    kept = F.pmod("conv_id", F.size("turns") + 1).cast("int")
+    rest = F.slice("other", kept + 1, F.greatest(F.size("other"), F.lit(1)))
+    return mine.join(other, "conv_id", "left").select(
         F.col("conv_id").alias("pair_id"),
         F.col("turns").alias("chosen"),
-        F.when(F.col("other").isNull(), kept).otherwise(F.concat(kept, new)).alias("rejected"),
+        F.concat(F.slice("turns", F.lit(1), kept), F.coalesce(rest, F.array().cast(mine.schema["turns"].dataType))).alias("rejected"),
     )

@@ -53,7 +53,7 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preferences.swapped_last_turns(read_table(spark, sf_dir, "conversations"))
+    pairs = preferences.neighbour_branches(read_table(spark, sf_dir, "conversations"))
     return preferences.formatted(pairs)
 
 
@@ -114,25 +114,36 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/
 
 _BODY = "(x.text || '<|end|>' || chr(10))"
 _HEAD = "('<|' || x.role || '|>' || chr(10))"
+_SPANS = f"""{{name}} AS (
+  SELECT pair_id, string_agg((done + h) || ':' || (done + h + b), ',' ORDER BY i) AS spans
+  FROM (
+    SELECT pair_id, i, x.role AS role, len({_HEAD}) AS h, len({_BODY}) AS b,
+      coalesce(sum(len({_HEAD}) + len({_BODY})) OVER (PARTITION BY pair_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
+    FROM (SELECT pair_id, unnest({{side}}) AS x, unnest(generate_series(1, len({{side}}))) AS i FROM sides))
+  WHERE role = 'assistant' GROUP BY pair_id)"""
 OP8_SQL = f"""
 WITH turns AS (
   SELECT conv_id, list(struct_pack(role := coalesce(role, 'unknown'), text := coalesce(text, '')) ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, '')) AS chosen
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 pairs AS (
   SELECT a.conv_id AS pair_id, a.chosen AS chosen,
-    CASE WHEN b.conv_id IS NULL THEN a.chosen[1:len(a.chosen) - 1]
-    ELSE list_concat(a.chosen[1:len(a.chosen) - 1], [struct_pack(role := a.chosen[len(a.chosen)].role, text := b.chosen[len(b.chosen)].text)]) END AS rejected
+    list_concat(a.chosen[1:a.conv_id % (len(a.chosen) + 1)], coalesce(b.chosen[a.conv_id % (len(a.chosen) + 1) + 1:], [])) AS rejected
   FROM turns a LEFT JOIN turns b ON xor(a.conv_id, 1) = b.conv_id),
-common AS (SELECT *, CASE WHEN chosen = rejected THEN len(chosen) ELSE len(chosen) - 1 END AS n FROM pairs),
+differ AS (
+  SELECT pair_id, min(i) AS i
+  FROM (SELECT pair_id, chosen, rejected, unnest(generate_series(1, least(len(chosen), len(rejected)))) AS i FROM pairs)
+  WHERE chosen[i].role <> rejected[i].role OR chosen[i].text <> rejected[i].text GROUP BY pair_id),
+common AS (SELECT pairs.*, coalesce(differ.i - 1, least(len(chosen), len(rejected))) AS n FROM pairs LEFT JOIN differ USING (pair_id)),
 sides AS (
-  SELECT pair_id, n, chosen[1:n] AS p, chosen[n + 1:len(chosen)] AS c, rejected[n + 1:len(rejected)] AS r FROM common)
+  SELECT pair_id, n, chosen[1:n] AS p, chosen[n + 1:] AS c, rejected[n + 1:] AS r FROM common),
+{_SPANS.format(name="chosen_spans", side="c")},
+{_SPANS.format(name="rejected_spans", side="r")}
 SELECT pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
   coalesce(array_to_string(list_transform(p, lambda x: {_HEAD} || {_BODY}), ''), '') AS prompt,
   coalesce(array_to_string(list_transform(c, lambda x: {_HEAD} || {_BODY}), ''), '') AS chosen,
   coalesce(array_to_string(list_transform(r, lambda x: {_HEAD} || {_BODY}), ''), '') AS rejected,
-  coalesce(array_to_string(list_transform(list_filter(c, lambda x: x.role = 'assistant'), lambda x: len({_HEAD}) || ':' || (len({_HEAD}) + len({_BODY}))), ','), '') AS chosen_spans,
-  coalesce(array_to_string(list_transform(list_filter(r, lambda x: x.role = 'assistant'), lambda x: len({_HEAD}) || ':' || (len({_HEAD}) + len({_BODY}))), ','), '') AS rejected_spans
-FROM sides
+  coalesce(cs.spans, '') AS chosen_spans, coalesce(rs.spans, '') AS rejected_spans
+FROM sides LEFT JOIN chosen_spans cs USING (pair_id) LEFT JOIN rejected_spans rs USING (pair_id)
 """
 
 ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_preferences": OP8_SQL}
