@@ -14,7 +14,9 @@ occurs in Spark strings.  Unknown pieces decode to the model's unknown surface.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import itertools
 import re
 import struct
 from dataclasses import dataclass, field
@@ -22,7 +24,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
@@ -193,10 +194,26 @@ class Codec:
         return ids[np.concatenate([[True], ~both])]
 
     def decode(self, ids) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD each."""
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
-
+        """The text of ids; each byte that is in no UTF-8 character becomes U+FFFD.
+
+        One marker at the start of the first piece that has a surface is the dummy prefix.  A piece
+        without a surface parts the bytes around it.
+        """
+        parts = list(map(self.surface.__getitem__, ids))
+        if self.model.dummy_prefix or self.model.remove_extra_whitespace:
+            for i, p in zip(range(len(parts)), ids):
+                if self.model.types[p] in (CONTROL, UNUSED):
+                    continue
+                if self.model.types[p] in (NORMAL, USER_DEFINED) and parts[i].startswith(b" "):
+                    parts[i] = parts[i][1:]
+                break
+        if all(parts[1:]):
+            return b"".join(parts).decode("utf-8", "one-by-one")
+        runs = itertools.groupby(zip(parts, ids), lambda x: self.model.types[x[1]] in (CONTROL, UNUSED))
+        return "".join(b"".join(p for p, _ in run).decode("utf-8", "one-by-one") for _, run in runs)
+
+
+codecs.register_error("one-by-one", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 _LAST: dict[bytes, Codec] = {}
 
@@ -291,9 +308,3 @@ def default_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
-
-
-def with_token_counts(docs: DataFrame, model_path: str) -> DataFrame:
-    """docs' columns and n_tokens; a column of that name is replaced."""
-    counts = token_report(docs, model_path).select("doc_id", "n_tokens")
-    return docs.drop("n_tokens").join(counts, "doc_id", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
