@@ -19,7 +19,9 @@ joined by a shuffle beyond that.
 Words: A-Z lower-cased, then runs of characters other than [\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F].
 Defined results: null or wordless documents have no words and no hit; null or wordless items have
 no window; a null item_id is not listed.  An item of fewer words than the width is one window.
-Rows that repeat a doc_id are judged by their own text each.
+Rows that repeat a doc_id are judged by their own text each.  Empty tables give no rows or no hits;
+other columns are not read.  A text of any length is one row; each of its postings holds as many words
+around it as a window has.
 """
 
 from __future__ import annotations
@@ -39,9 +41,13 @@ def words(text: str | Column) -> Column:
     return F.array_remove(F.split(lowered, NOT_WORD), "")
 
 
+def is_few(df: DataFrame, small: int) -> bool:
+    return df.limit(small + 1).count() <= small
+
+
 def at_most(df: DataFrame, small: int) -> DataFrame:
     """A broadcast hint, only where the rows are counted and few."""
-    return F.broadcast(df) if df.limit(small + 1).count() <= small else df
+    return F.broadcast(df) if is_few(df, small) else df
 
 
 def windows(items: DataFrame, width: int) -> DataFrame:
@@ -88,21 +94,32 @@ def anchored(cut: DataFrame, docs: DataFrame, small: int) -> DataFrame:
 def positional_index(docs: DataFrame, terms: DataFrame, reach: int, small: int) -> DataFrame:
     """(doc_id, text_hash, n_words, term, pos, first, around); term is null in a document's own row.
 
-    around holds the words from position `first` up to `reach` words after pos.
+    around holds the words from position `first` up to `reach` words after pos.  Where the terms are
+    too many to broadcast, single words are shuffled to them, and the places come back by document,
+    so that no word carries its text along.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words("text").alias("w"))
-    tokens = base.select("doc_id", "text_hash", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "term"))
-    found = tokens.join(at_most(terms.select(F.col("term"), F.lit(True).alias("wanted")), small), "term", "left")
     n = F.size("w")
+    own = F.struct(n.alias("pos"), F.lit(None).cast("string").alias("term"))
+    if is_few(terms, small):
+        tokens = base.select("doc_id", "text_hash", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "term"))
+        found = tokens.join(F.broadcast(terms.select("term", F.lit(True).alias("wanted"))), "term", "left").where((F.col("pos") == n) | F.col("wanted"))
+    else:
+        tokens = base.select("doc_id", "text_hash", F.posexplode("w").alias("pos", "term")).join(terms, "term", "left_semi")
+        places = tokens.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("pos", "term")).alias("places"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+        each = F.concat(F.coalesce("places", F.array().cast("array<struct<pos:int,term:string>>")), F.array(own))
+        found = base.join(places, same, "left").select("doc_id", "text_hash", "w", F.inline(each))
     first = F.greatest(F.lit(0), F.col("pos") - reach)
-    return found.where((F.col("pos") == n) | F.col("wanted")).select(
+    inside = F.col("pos") < n
+    return found.select(
         "doc_id",
         "text_hash",
         n.alias("n_words"),
-        F.when(F.col("pos") < n, F.col("term")).alias("term"),
+        F.when(inside, F.col("term")).alias("term"),
         "pos",
         first.alias("first"),
-        F.when(F.col("pos") < n, F.slice("w", first + 1, F.col("pos") + reach + 1 - first)).alias("around"),
+        F.when(inside, F.slice("w", first + 1, F.col("pos") + reach + 1 - first)).alias("around"),
     )
 
 
