@@ -8,59 +8,10 @@ passage; personal data is masked in the text; the last stage returns token ids.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corpuslens.llm import decontaminate, langid, pii, sentencepiece_codec
-from corpuslens.llm.ngram_join import jaccard_components
+from corpuslens.llm.pipeline import decontaminated, language, near_duplicates, tokens, without_personal_data
 from corpuslens.llm.shared import Scratch, read_table
 
-#: What a documents table has; a stage may get more columns, and keeps them.
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undetermined; fills in a missing lang."""
-    pred, score = "__lang_pred", "__lang_score"
-    found = langid.identify(docs, langid.fit(docs), lang_pred=pred, score=score)
-    return found.where(F.col(pred) != "und").withColumn("lang", F.coalesce("lang", pred)).drop(pred, score)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with `__key`, which rows share only if they have both doc_id and text in common."""
-    return docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of shingle similarity 0.8 or more.
-
-    Rows that repeat a doc_id are documents of their own; a null doc_id is never linked.
-    """
-    rows = keyed(docs).where("doc_id is not null")
-    groups = jaccard_components(rows.select(F.col("__key").alias("doc_id"), "text"), width=5, percent=80)
-    groups = groups.select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    first = groups.join(rows.select("__key", "doc_id"), "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("m"))
-    kept = rows.join(first.select(F.col("m.__key").alias("__key")), "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which any window of a benchmark item occurs; each row by its own text."""
-    rows = keyed(docs)
-    found = decontaminate.contamination(rows.select(F.col("__key").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"), width=10)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
-    return rows.join(bad, "__key", "left_anti").select(*docs.columns)
-
-
-def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data; n_chars follows the text."""
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens) of every document that is left."""
-    return sentencepiece_codec.encoded(docs, sentencepiece_codec.default_model()).withColumn("n_tokens", F.size("ids"))
-
-
 STAGES = [
     ("language_id", language),
     ("ngram_jaccard_join", near_duplicates),
