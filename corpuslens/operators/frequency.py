@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.normalize import entity_key
-from ..functions.text import col, found
+from ..functions.text import col, found, strip
 from .project import bubble_size
 
 
@@ -23,10 +23,10 @@ def dominant_label(df: DataFrame, keys: list[str], label: str, order: str | Colu
 def entity_frequency(points: DataFrame, order: str | Column = "id", centroid: bool = True, fallback: str = "TECHNIQUE") -> DataFrame:
     """(key, entity, frequency, label[, cx, cy]) per normalised entity; blank entities are skipped.
 
-    entity is the form seen first; label the dominant one.  One shuffle on (key, label) carries
+    entity is the form seen first, trimmed; label the dominant one.  One shuffle on (key, label) carries
     partial sums, one on key the few that are left.
     """
-    rows = points.withColumn("key", entity_key("entity")).where("key <> ''").withColumn("__o", col(order))
+    rows = points.withColumn("key", entity_key("entity")).where("key <> ''").withColumns({"entity": strip("entity"), "__o": col(order)})
     sums = [F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"s{c}") for c in ("x", "y")] if centroid else []
     per = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("__o").alias("o"), F.min_by("entity", "__o").alias("entity"), *sums)
     total = F.sum("n")
