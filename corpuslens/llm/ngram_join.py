@@ -6,26 +6,30 @@ n - ceil(percent/100 * n) + 1 tokens of either under *every* global token order.
 k gives a filter, and only pairs that pass the filters of all orders reach verification.
 
 1. `scan`: each document's shingle hashes give its class (documents with equal sets are one
-   class, so copies are never paired) and a count sketch of fixed width.  The sketch puts every
-   token in a band: band 0 for tokens as frequent as any, higher bands for tokens that stand out.
-2. The orders are (band, hash_k(token)): frequent tokens come last in each of them, so that a
-   shared passage seldom reaches a prefix.  Any consistent order is lossless; the sketch only
-   makes it selective.
-3. `postings`: (order, token) lists, streamed in order of set size.  A posting with up to `dense`
-   others in reach of the size filter is paired with them.  Of denser stretches, and of tokens
-   that stand out, only the members are kept; each is paired with a pivot of its list.
-4. Per pair, the common prefix tokens of each order are counted (dense lists that were not
-   enumerated count as possible).  A pair stays if in every order count + longest suffix reaches
-   the overlap needed: the filters are intersected here, before any set is moved.
-5. Surviving pairs are joined with the sets and verified; links give components.
-6. Dense lists that still join several components are the rest: their members, unit by unit (what
-   lists connect if it is small, else one list), are dealt to blocks, and for each pair of blocks that may hold a link across components the common dense
-   keys are counted exactly by a matrix product, per order.  Blocks inside one component are
-   skipped.  The pairs that pass the filters of all orders are verified like the others.
+   class, so copies are never paired) and a count sketch of fixed width, which puts every token
+   in a band: band 0 for tokens as frequent as any, higher bands for tokens that stand out.
+2. The orders begin with the tokens of band 0 in a fixed share of hash space, the region: rare
+   ones first, by the exact number of classes that hold them, ties by hash_k.  The other tokens
+   follow by (band, hash_k).  So what many documents share seldom reaches a prefix.
+3. `shared_tokens` counts the region: one shuffle by token, in which tokens of one class alone
+   end.  `prefixes` gathers what is left by class: a class knows how many tokens were its own, so
+   its prefix under each order, and posts the shared ones among them.
+4. `lists` streams the postings of each order by token.  Members of a list are paired with one
+   pivot of about their size only, the one with the fewest tokens that it alone has; so there are
+   never more pairs than postings.  Pairs found under
+   all orders are verified, and links give components.
+5. Lists that still hold several components are the rest: their members, unit by unit (what lists
+   connect if it is small, else one list), are dealt to blocks, and for each pair of blocks that
+   may hold a link across components the common tokens of the prefixes are counted exactly by a
+   matrix product, per order.  A pair stays if in every order count + longest suffix reaches the
+   overlap needed: the filters of all orders are intersected here, before any pair is emitted.
+   Pairs inside one component are skipped.  The others are verified like the first.
 
 Defined results: null text, no words -> empty set, linked with nothing, component is the
 document itself.  Fewer words than the width -> the whole sequence is the one shingle.  A null
 doc_id is never linked and keeps a null component.  Rows that repeat a doc_id are one document.
+An empty table gives an empty result; columns but doc_id and text are not read, whatever their
+names.  A text may be of any length: its set is held by one task.
 """
 
 from __future__ import annotations
@@ -35,15 +39,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, WordHashes, mixed, words_of
+from .shared import Scratch, WordHashes, heavy_above, join_to_one, mixed, words_of
 
 SKETCH_BITS, SKETCH_PARTS, BANDS = 20, 16, 15
-HELD, HELD_PAIRS = 4096, 500_000
+SIZE_BITS = 31  # of a class's second number; the rest are bits of its hash
+HELD_PAIRS = 500_000
 TO_INT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,8 +66,14 @@ def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def class_of(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def class_of(tokens: np.ndarray) -> tuple[int, int]:
+    """(cls, m): 96 bits of a hash of the set, and its size in the low SIZE_BITS bits of m."""
+    h = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), (h >> 96) << SIZE_BITS | len(tokens)
+
+
+def size_of(m: str = "m"):
+    return F.col(m).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
 
 
 def prefix_size(n, percent: int):
@@ -69,11 +81,6 @@ def prefix_size(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def order_keys(tokens: np.ndarray, bands: np.ndarray, order: int) -> np.ndarray:
-    band = bands[tokens >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
-    return (band << np.uint64(60)) | (mixed(tokens, order + 11) >> np.uint64(4))
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -83,20 +90,20 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def scan(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, cls, n) of the documents, and rows (part, salt, counts) of the sketch."""
+    """Rows (doc_id, cls, m) of the documents, and rows (part, salt, counts) of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, salt = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64), 0
         none = lambda n: (pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
-        names = ["doc_id", "cls", "n", "part", "salt", "counts"]
+        names = ["doc_id", "cls", "m", "part", "salt", "counts"]
         for b in batches:
             cls, sizes, gathered = [], [], []
             for text in b.column("text"):
                 s = shingles(text.as_py(), width, hashes)
-                cls.append(class_of(s))
-                sizes.append(len(s))
+                salt, m = class_of(s)
+                cls.append(salt)
+                sizes.append(m)
                 gathered.append(s >> np.uint64(64 - SKETCH_BITS))
-                salt = cls[-1]
                 if len(gathered) >= 512:
                     np.add.at(counts, *_tally(gathered))
                     gathered = []
@@ -118,7 +125,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
                 names=names,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long, part int, salt int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, m long, part int, salt int, counts binary")
 
 
 def _tally(gathered: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,163 +156,201 @@ def sketch_bands(scanned: DataFrame) -> np.ndarray:
     return np.where(excess > 1, 1 + np.clip(np.log2(np.maximum(excess, 1)), 0, BANDS - 1), 0).astype(np.uint8)
 
 
-def postings(docs: DataFrame, bands, width: int, percent: int, orders: int, salts: int) -> DataFrame:
-    """(key, salt, cls, n): key is a prefix token under one order, the order is in its low two bits.
+POSTING = ("key", "salt", "cls", "m", "a")
+
 
-    Lists of tokens that stand out are salted by class (salt 1 and on).  Copies that one task sees give one posting.
+def postings(docs: DataFrame, bands, width: int, percent: int, orders: int, share: float) -> DataFrame:
+    """(key, salt, cls, m, a): a token of a class, which has a tokens in the region.
+
+    All tokens of the region are posted, with zeros in the low three bits of the key.  A class whose
+    prefix is longer than that posts the rest of its prefix under each order k, with 4 + k there.
+    Lists of tokens that stand out are dealt to parts (salt 1 and on), the more the longer they are.
+    Copies that one task sees give one posting.
     """
+    region = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, band = WordHashes(), bands.value
+        hashes, band_of = WordHashes(), bands.value
         seen: set[tuple[int, int]] = set()
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["key", "salt", "cls", "n"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=list(POSTING))
 
         for b in batches:
             rows, held = [], 0
             for text in b.column("text"):
                 s = shingles(text.as_py(), width, hashes)
-                n = len(s)
-                c = class_of(s)
-                if not n or (c, n) in seen:
+                c, m = class_of(s)
+                if not len(s) or (c, m) in seen:
                     continue
                 if len(seen) > 100_000:
                     seen.clear()
-                seen.add((c, n))
-                p = prefix_size(n, percent)
-                for k in range(orders):
-                    order = order_keys(s, band, k)
-                    first = np.argpartition(order, p - 1)[:p]
-                    key = (mixed(s[first], 31 + k) & ~np.uint64(3)) | np.uint64(k)
-                    salt = np.where(order[first] >> np.uint64(60) > 0, 1 + c % salts, 0).astype(np.int32)
-                    rows.append((key.view(np.int64), salt, np.full(p, c, np.int64), np.full(p, n, np.int64)))
-                    held += p
+                seen.add((c, m))
+                band = band_of[s >> np.uint64(64 - SKETCH_BITS)]
+                inside = (band == 0) & (mixed(s, 7) <= region)
+                a, p = int(inside.sum()), prefix_size(len(s), percent)
+                posted = [(mixed(s[inside], 31) & ~np.uint64(7), np.zeros(a, np.int32))]
+                if a < p:
+                    rest, of = s[~inside], band[~inside].astype(np.uint64)
+                    for k in range(orders):
+                        first = np.argpartition((of << np.uint64(59)) | (mixed(rest, k + 11) >> np.uint64(5)), p - a - 1)[: p - a]
+                        key = (mixed(rest[first], 32 + k) & ~np.uint64(7)) | np.uint64(4 + k)
+                        part = mixed(key ^ np.uint64(c & 0xFFFFFFFFFFFFFFFF), 3) & ((np.uint64(1) << of[first]) - np.uint64(1))
+                        posted.append((key, np.where(of[first] > 0, 1 + part, 0).astype(np.int32)))
+                for key, salt in posted:
+                    rows.append((key.view(np.int64), salt, *(np.full(len(key), x, np.int64) for x in (c, m)), np.full(len(key), a, np.int32)))
+                    held += len(key)
                 if held > 100_000:
                     yield packed(rows)
                     rows, held = [], 0
             if rows:
                 yield packed(rows)
 
-    return docs.select("text").mapInArrow(run, "key long, salt int, cls long, n long")
+    return docs.select("text").mapInArrow(run, "key long, salt int, cls long, m long, a int")
 
 
-def candidates(posted: DataFrame, percent: int, dense: int) -> DataFrame:
-    """Streams the lists: rows (k, a, na, b, nb, c) are pairs with c common tokens under order k,
-    counted in the task already; rows with b null are members of dense lists.
+def by_list(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
+    """Whole lists, several at a time: sorted rows as arrays, one row per column, without repeats.
 
-    A partition holds whole lists, sorted by size.  A posting whose size filter leaves up to `dense`
-    postings after it is paired with each; else it and they are members of a dense list.  No more
-    than HELD postings of one list are held: the members of a longer list are all dense.
+    Lists are equal in their first two columns.  A list is held whole: tokens that stand out are
+    dealt to parts, so it is no longer than what the sketch takes for usual.
     """
-    schema = "k int, key long, salt int, a long, na long, b long, nb long, c long"
-    names = ["k", "key", "salt", "a", "na", "b", "nb", "c"]
+    held: list[np.ndarray] = []
+    for rb in batches:
+        x = np.stack([rb.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)])
+        if not x.shape[1]:
+            continue
+        # the last list of this batch may go on in the next
+        tail = int(np.flatnonzero((x[0] == x[0, -1]) & (x[1] == x[1, -1]))[0])
+        if tail or (held and (held[0][0, 0] != x[0, 0] or held[0][1, 0] != x[1, 0])):
+            yield without_repeats(np.concatenate([*held, x[:, :tail]], axis=1))
+            held = []
+        held.append(x[:, tail:])
+    if held:
+        yield without_repeats(np.concatenate(held, axis=1))
+
+
+def without_repeats(x: np.ndarray) -> np.ndarray:
+    keep = np.ones(x.shape[1], bool)
+    keep[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
+    return x[:, keep]
+
+
+def list_numbers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, sizes): the number of each row's list, and the size of each list."""
+    new = np.ones(x.shape[1], bool)
+    new[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
+    which = np.cumsum(new) - 1
+    return which, np.bincount(which)
+
+
+def shared_tokens(posted: DataFrame) -> DataFrame:
+    """(cls, m, a, key, salt, df): the postings of tokens that several classes may share; df counts the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((4, 0), np.int64)
-        dense_at = None  # key and salt of the last dense list, which may go on
-        pairs: list[np.ndarray] = []
+        for x in by_list(batches, 5):
+            which, sizes = list_numbers(x)
+            df = sizes[which]
+            keep = (df > 1) | (x[1] > 0)
+            key, salt, cls, m, a = x[:, keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cls), pa.array(m), pa.array(a.astype(np.int32)), pa.array(key), pa.array(salt.astype(np.int32)), pa.array(df[keep].astype(np.int32))],
+                names=["cls", "m", "a", "key", "salt", "df"],
+            )
+
+    ordered = posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "cls", "m")
+    return ordered.mapInArrow(run, "cls long, m long, a int, key long, salt int, df int")
+
+
+def prefixes(shared: DataFrame, reps: DataFrame, percent: int, orders: int) -> DataFrame:
+    """(key, salt, about, own, id, n): the shared tokens in the prefixes of each order k, which the low two bits of the key tell.
+
+    id is the class's representative, about its size class, own the number of region tokens that no
+    other class has: few for the copy that is nearest to what all copies share.
+    """
+    sets = shared.groupBy("cls", "m").agg(F.max("a").alias("a"), F.collect_list(F.struct("key", "salt", "df")).alias("tokens"))
+    sets = sets.join(reps.select("cls", "m", F.col("rep").alias("id")), ["cls", "m"]).select("id", size_of().alias("n"), "a", "tokens")
+    step = -2 * np.log(percent / 100) if percent < 100 else 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                yield posted(b.slice(at, 500))
+
+    def posted(b: pa.RecordBatch) -> pa.RecordBatch:
+        lengths = pc.list_value_length(b.column("tokens")).to_numpy(zero_copy_only=False)
+        key, salt, df = (x.to_numpy(zero_copy_only=False) for x in b.column("tokens").flatten().flatten())
+        n, a, ids = (b.column(c).to_numpy() for c in ("n", "a", "id"))
+        row = np.repeat(np.arange(b.num_rows), lengths)
+        tail = key & 4 > 0
+        out = [(key[tail], salt[tail], row[tail])]
+        # of the tokens in the region, those of one class alone come first
+        own = a - np.bincount(row[~tail], minlength=b.num_rows)
+        room = np.where(a < prefix_size(n, percent), a, prefix_size(n, percent)) - own
+        key, df, row = key[~tail], df[~tail], row[~tail]
+        for k in range(orders):
+            order = np.lexsort((mixed(key.view(np.uint64), 50 + k), df, row))
+            starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))[:-1]])
+            kept = order[np.arange(len(row)) - starts[row[order]] < room[row[order]]]
+            out.append((key[kept] | k, np.zeros(len(kept), np.int32), row[kept]))
+        key, salt, row = (np.concatenate(x) for x in zip(*out, strict=True))
+        about = np.floor(np.log(n) / step).astype(np.int32)
+        columns = (key, salt, about[row], own.astype(np.int32)[row], ids[row], n[row])
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "salt", "about", "own", "id", "n"])
+
+    return sets.mapInArrow(run, "key long, salt int, about int, own int, id long, n long")
 
-        def members(z: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(z.shape[1], pa.int64())
-            k, salt = (z[0] & 3).astype(np.int32), z[1].astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(z[0]), pa.array(salt), pa.array(z[2]), pa.array(z[3]), none, none, none], names=names)
 
-        def counted(least: int) -> Iterator[pa.RecordBatch]:
-            """The pairs so far, each with its number of common tokens, once there are `least` of them."""
+def lists(posted: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, salt, about, own, id, n) are members of lists; rows (k, u, v) pair each member with the pivot of its list and size class,
+    and the pivot of one size class with that of the next.
+    """
+    names = ["key", "salt", "about", "own", "id", "n", "k", "u", "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[np.ndarray] = []
+
+        def distinct(least: int) -> Iterator[pa.RecordBatch]:
             nonlocal pairs
             if sum(x.shape[1] for x in pairs) < least:
                 return
-            x = np.concatenate(pairs, axis=1)
-            pairs = []
-            x = x[:, np.lexsort((x[3], x[1], x[0]))]
-            first = np.flatnonzero(np.concatenate([[True], (x[:, 1:] != x[:, :-1]).any(axis=0)]))
-            k, a, na, b, nb = x[:, first]
-            c = np.diff(np.append(first, x.shape[1]))
-            none, n = pa.nulls, len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), none(n, pa.int64()), none(n, pa.int32()), *map(pa.array, (a, na, b, nb, c))], names=names)
-
-        def done(x: np.ndarray, open_end: bool = False) -> Iterator[pa.RecordBatch]:
-            """Whole lists, except that the first may go on from the last dense list, and the last beyond x.
-
-            A salted list is a part of a list, so it counts as dense at any length.
-            """
-            nonlocal dense_at
-            if not x.shape[1]:
-                return
-            new = np.zeros(x.shape[1], bool)
-            new[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
-            which = np.cumsum(new)
-            forced = x[1] > 0
-            if dense_at == (x[0, 0], x[1, 0]):
-                forced |= which == 0
-            if open_end:
-                forced |= which == which[-1]
-                dense_at = (x[0, -1], x[1, -1])
-            # the window of a posting: those after it in its list that the size filter leaves
-            place = np.arange(x.shape[1])
-            end = np.searchsorted((which << 32) + x[3], (which << 32) + 100 * x[3] // percent, "right")
-            window = end - place - 1
-            over = (window > dense) & ~forced
-            marks = np.zeros(x.shape[1] + 1, np.int64)
-            np.add.at(marks, place[over], 1)
-            np.add.at(marks, end[over], -1)
-            member = forced | (np.cumsum(marks[:-1]) > 0)
-            yield members(x[:, member])
-            for d in range(1, dense + 1):
-                first = place[(window >= d) & (window <= dense) & ~forced]
-                if not len(first):
-                    break
-                p, q = x[:, first], x[:, first + d]
-                flip = p[2] > q[2]
-                a, na, b, nb = np.where(flip, q[2], p[2]), np.where(flip, q[3], p[3]), np.where(flip, p[2], q[2]), np.where(flip, p[3], q[3])
-                pairs.append(np.stack([p[0] & 3, a, na, b, nb]))
-            yield from counted(HELD_PAIRS)
-
-        for rb in batches:
-            x = np.stack([rb.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
-            x = np.concatenate([held, x], axis=1)
-            if x.shape[1] > 1:  # repeats of a class in a list are side by side
-                keep = np.ones(x.shape[1], bool)
-                keep[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
-                x = x[:, keep]
+            k, u, v = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            pairs, none = [], pa.nulls(len(k), pa.int64())
+            yield pa.RecordBatch.from_arrays([none] * 6 + [pa.array(k.astype(np.int32)), pa.array(u), pa.array(v)], names=names)
+
+        for x in by_list(batches, 6):
+            which, sizes = list_numbers(x)
+            x = x[:, (sizes[which] > 1) | (x[1] > 0)]
             if not x.shape[1]:
                 continue
-            tail = int(np.flatnonzero((x[0] == x[0, -1]) & (x[1] == x[1, -1]))[0])
-            if x.shape[1] - tail > HELD:  # goes on as a dense list; the last member stays, for repeats
-                tail = x.shape[1] - 1
-                yield from done(x[:, :tail], True)
-            else:
-                yield from done(x[:, :tail])
-            held = x[:, tail:]
-        yield from done(held)
-        yield from counted(1)
-
-    ordered = posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "cls")
-    return ordered.mapInArrow(run, schema)
-
-
-def surviving(found: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(a, na, b, nb) of the pairs that the filters of all orders let through."""
-    hot = found.where("b is null").groupBy("a", "na").agg(
-        *[F.sum(F.when(F.col("k") == k, 1).otherwise(0)).alias(f"h{k}") for k in range(orders)]
-    )
-    pairs = found.where("b is not null").groupBy("a", "na", "b", "nb").agg(
-        *[F.sum(F.when(F.col("k") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(orders)]
-    )
-    of = lambda x: hot.select(
-        F.col("a").alias(x), F.col("na").alias(f"n{x}"), *[F.col(f"h{k}").alias(f"h{x}{k}") for k in range(orders)]
-    )
-    pairs = pairs.join(of("a"), ["a", "na"], "left").join(of("b"), ["b", "nb"], "left")
-    suffix = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    least = F.greatest(F.lit(1), need - F.greatest(suffix("na"), suffix("nb")))
-    for k in range(orders):
-        maybe = F.least(F.coalesce(f"ha{k}", F.lit(0)), F.coalesce(f"hb{k}", F.lit(0)))
-        pairs = pairs.where(F.col(f"c{k}") + maybe >= least)
-    return pairs.select("a", "na", "b", "nb")
+            key, _, about, _, ids, n = x
+            none = pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x), pa.nulls(len(key), pa.int32()), none, none], names=names)
+            which, _ = list_numbers(x)
+            first = np.ones(len(key), bool)
+            first[1:] = (which[1:] != which[:-1]) | (about[1:] != about[:-1])
+            heads = np.flatnonzero(first)
+            head = heads[np.cumsum(first) - 1]
+            head[heads[1:]] = np.where(which[heads[1:]] == which[heads[:-1]], heads[:-1], heads[1:])
+            ok = (ids != ids[head]) & (100 * np.minimum(n, n[head]) >= percent * np.maximum(n, n[head]))
+            p, q = ids[ok], ids[head][ok]
+            pairs.append(np.stack([key[ok] & 3, np.minimum(p, q), np.maximum(p, q)]))
+            yield from distinct(HELD_PAIRS)
+        if pairs:
+            yield from distinct(1)
+
+    ordered = posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "about", "own", "id")
+    return ordered.mapInArrow(run, "key long, salt long, about long, own long, id long, n long, k int, u long, v long")
+
+
+def pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(k, u, v): each member of a list that is dealt to parts with the pivot of all parts."""
+    hot = members.where("salt > 0")
+    pivots = hot.groupBy("key", "about").agg(F.min(F.struct("own", "id", "n")).alias("p"), F.max("salt").alias("parts"))
+    pivots = pivots.select("key", "about", "p", F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("salt"))
+    near = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+    pairs = hot.join(pivots, ["key", "salt", "about"]).where((F.col("id") != F.col("p.id")) & near)
+    return pairs.select(F.col("key").bitwiseAND(3).cast("int").alias("k"), F.least("id", "p.id").alias("u"), F.greatest("id", "p.id").alias("v")).distinct()
 
 
 def bloom_of(ids: DataFrame, bits: int = 24) -> np.ndarray:
@@ -335,7 +380,7 @@ def sets_of(docs: DataFrame, bloom, width: int, bits: int = 24) -> DataFrame:
     def run(batches):
         hashes, words = WordHashes(), bloom.value
         for b in batches:
-            b = b.filter(pa.compute.is_valid(b.column("doc_id")))
+            b = b.filter(pc.is_valid(b.column("doc_id")))
             ids = b.column("doc_id").cast(pa.int64()).to_numpy()
             ok = np.ones(len(ids), bool)
             for at in _bloom_at(ids, bits):
@@ -369,10 +414,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def across(tagged: DataFrame, percent: int, orders: int) -> DataFrame:
     """(u, v) of the pairs of different components that one pair of blocks of a unit leaves.
 
-    tagged: (by_key, unit, about, i, kind, j, id, n, label, keys), where keys are all dense keys of
-    the member.  A pair that shares no enumerated list shares exactly its common dense keys, so
-    these decide the filters of all orders.  Where units are dense lists, a pair is emitted by its
-    smallest common key only.
+    tagged: (by_key, unit, about, i, kind, j, id, n, label, keys), where keys are all shared tokens
+    of the member's prefixes, so that they decide the filters of all orders.  Where units are
+    lists, a pair is emitted by its smallest common key only.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -380,14 +424,18 @@ def across(tagged: DataFrame, percent: int, orders: int) -> DataFrame:
         n, labels = table.column("n").to_numpy()[one], table.column("label").to_numpy()[one]
         lists = [np.sort(table.column("keys")[int(i)].values.to_numpy()) for i in one]
         flat = np.concatenate(lists)
-        values, at = np.unique(flat, return_inverse=True)
+        values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        # what one member alone has is common to no pair
+        shared = times[at] > 1
+        at, owner = at[shared], owner[shared]
+        kind = np.where(times > 1, values & 3, -1)
         small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
         need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
         least = np.maximum(1, need - (-(-percent * large // 100) - 1))
         left = (labels[:, None] != labels[None, :]) & (100 * small >= percent * large)
         for k in range(orders):
-            own = np.flatnonzero((values & 3) == k)
+            own = np.flatnonzero(kind == k)
             column = np.full(len(values), -1)
             column[own] = np.arange(len(own))
             column = column[at]
@@ -409,43 +457,28 @@ def across(tagged: DataFrame, percent: int, orders: int) -> DataFrame:
     return tagged.groupBy("by_key", "unit", "about", "i", "kind", "j").applyInArrow(run, "u long, v long")
 
 
-def dense_members(found: DataFrame, reps: DataFrame) -> DataFrame:
-    """(k, key, id, n): the members of the dense lists."""
-    dense = found.where("b is null").select("k", "key", F.col("a").alias("cls"), F.col("na").alias("n")).distinct()
-    return dense.join(reps.select("cls", "n", F.col("rep").alias("id")), ["cls", "n"]).select("k", "key", "id", "n")
-
+def rest_pairs(members: DataFrame, labels: DataFrame, scratch: Scratch, percent: int, orders: int, block: int) -> DataFrame | None:
+    """(u, v): candidate pairs across the components that lists still join, or None.
 
-def stars(dense: DataFrame, percent: int) -> DataFrame:
-    """(u, v): each member of a dense list with the list's pivot of about its size.
-
-    The pivot is the member in most dense lists: the nearer a copy is to what all share, the fewer
-    tokens of its own fill its prefix.
+    members: (key, salt, id, n).  Lists that are dealt to parts stay so in the joins.
     """
-    dense = dense.where("k = 0")
-    dense = dense.join(dense.groupBy("id").agg(F.count("*").alias("lists")), "id")
-    dense = dense.withColumn("about", F.floor(F.log("n") / (-2 * F.log(F.lit(percent / 100)))))
-    pivots = dense.groupBy("key", "about").agg(F.max_by(F.struct("id", "n"), F.struct("lists", F.negative("id"))).alias("p"))
-    pairs = dense.join(pivots, ["key", "about"]).where(
-        (F.col("id") != F.col("p.id")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
-    )
-    return pairs.select(F.least("id", "p.id").alias("u"), F.greatest("id", "p.id").alias("v")).distinct()
-
-
-def dense_rest(dense: DataFrame, labels: DataFrame, scratch: Scratch, percent: int, orders: int, block: int) -> DataFrame | None:
-    """(u, v): candidate pairs across the components that dense lists still join, or None."""
-    dense = dense.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    dense = scratch.save(dense.select("k", "key", "id", "n", "label"), "labelled")
     # a pair that links is in one size class or in two neighbouring ones: each member is in its own and the next
-    about = F.floor(F.log("n") / (-F.log(F.lit(percent / 100)))).cast("int")
-    own = dense.where("k = 0").select("key", F.explode(F.array(about, about + 1)).alias("about"), "id", "n", "label")
-    mixed_lists = own.groupBy("key", "about").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("id").alias("head")).where("l <> m")
-    still = scratch.save(own.join(mixed_lists.select("key", "about", "head"), ["key", "about"]), "still")
+    about = F.floor(F.log("n") / (-F.log(F.lit(min(percent, 99) / 100)))).cast("int")
+    own = members.where("key & 3 = 0").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
+    own = own.select("key", "salt", F.explode(F.array(about, about + 1)).alias("about"), "id", "n", F.coalesce("label", "id").alias("label"))
+    own = scratch.save(own, "own")
+    mixed_lists = own.groupBy("key", "about").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("id").alias("head"), F.max("salt").alias("parts"))
+    mixed_lists = mixed_lists.where("l <> m").select("key", "about", "head", F.explode(F.sequence(F.lit(0), "parts")).alias("salt"))
+    still = scratch.save(own.join(mixed_lists, ["key", "salt", "about"]).drop("salt"), "still")
     if still.isEmpty():
         return None
-    # members that lists connect are one unit if there are few of them, and then sent once; else each list is a unit
+    # members that lists connect are one unit, whose pairs are looked at once, if those are fewer than the pairs of its lists; else each list is one
     units = connected_components(still.select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), scratch, "units")
     units = units.withColumnsRenamed({"node": "id", "label": "unit"})
-    few = units.groupBy("unit").count().where(F.col("count") <= 8 * block).drop("count")
+    heads = still.groupBy("key", "about", "head").count().groupBy("head").agg(F.sum(F.col("count") * F.col("count")).alias("squares"))
+    squares = heads.join(units, F.col("head") == F.col("id")).groupBy("unit").agg(F.sum("squares").alias("squares"))
+    few = units.groupBy("unit").agg(F.count("*").alias("size")).join(squares, "unit")
+    few = few.where((F.col("size") <= 2 * block) | (F.col("size") * F.col("size") <= F.col("squares"))).select("unit")
     units = units.join(few, "unit").select("id", "unit")
     still = still.join(units, "id", "left").select(
         F.col("unit").isNull().alias("by_key"), F.coalesce("unit", "key").alias("unit"), F.when(F.col("unit").isNull(), F.col("about")).otherwise(0).alias("about"), "id", "n", "label"
@@ -468,14 +501,12 @@ def dense_rest(dense: DataFrame, labels: DataFrame, scratch: Scratch, percent: i
                      transform(sequence(0, majors - 1), x -> struct(mine as i, 1 as kind, x as j))),
               transform(sequence(0, minors - 1), x -> struct(x as i, 1 as kind, mine as j)))"""
     )
-    keys = dense.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    keys = members.join(still.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
     tagged = still.join(keys, "id").select(*unit, F.inline(blocks), "id", "n", "label", "keys")
     return across(tagged, percent, orders).distinct()
 
 
-def jaccard_components(
-    docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 2, dense: int = 24, salts: int = 8, block: int = 256
-) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 2, share: float = 0.3, block: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies) per row of docs (doc_id, text): see the module's text.
 
     n_copies is the number of rows with an equal set.  Other columns of docs are not read.
@@ -486,15 +517,16 @@ def jaccard_components(
     scratch = Scratch(spark, "ngram-join")
     scanned = scratch.save(scan(docs, width), "scan")
     bands = spark.sparkContext.broadcast(sketch_bands(scanned))
-    rows = scanned.where("counts is null").select("doc_id", "cls", "n")
+    rows = scanned.where("counts is null").select("doc_id", "cls", "m", size_of().alias("n"))
     sized = rows.where("n > 0 and doc_id is not null")
-    reps = sized.groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    found = scratch.save(candidates(postings(docs.where("doc_id is not null"), bands, width, percent, orders, salts), percent, dense), "found")
-    to = lambda x: reps.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("rep").alias("u" if x == "a" else "v"))
-    pairs = surviving(found, percent, orders).join(to("a"), ["a", "na"]).join(to("b"), ["b", "nb"])
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v")
-    dense_lists = scratch.save(dense_members(found, reps), "dense")
-    pairs = scratch.save(pairs.unionByName(stars(dense_lists, percent)).distinct(), "pairs")
+    reps = sized.groupBy("cls", "m").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
+    posted = postings(docs.where("doc_id is not null"), bands, width, percent, orders, share)
+    shared = scratch.save(shared_tokens(posted), "shared")
+    found = scratch.save(lists(prefixes(shared, reps, percent, orders), percent), "found")
+    scratch.drop("shared")
+    members = found.where("k is null").select("key", "salt", "about", "own", "id", "n")
+    pairs = found.where("k is not null").select("k", "u", "v").unionByName(pivot_pairs(members, percent)).groupBy("u", "v").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("under"))
+    pairs = scratch.save(pairs.where(F.col("under") == (1 << orders) - 1).select("u", "v"), "pairs")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         bloom = spark.sparkContext.broadcast(bloom_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
@@ -502,14 +534,17 @@ def jaccard_components(
 
     links = scratch.save(links_of(pairs), "links")
     labels = connected_components(links, scratch, "first")
-    rest = dense_rest(dense_lists, labels, scratch, percent, orders, block)
+    rest = rest_pairs(members.select("key", "salt", "id", "n"), labels, scratch, percent, orders, block)
     if rest is not None:
         links = scratch.save(links.unionByName(links_of(scratch.save(rest, "rest"))), "all-links")
         labels = connected_components(links, scratch, "all")
-    out = rows.join(reps, ["cls", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    # a class of very many copies is sent to the rows, not the rows to it
+    out = join_to_one(rows, named, ["cls", "m"], "n_copies", heavy_above(rows.count()))
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
     )

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +18,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir; one of our own only in one local process, as in tests.
+
+    On a cluster a folder of our own would be another one on every machine, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or f"file://{tempfile.gettempdir()}/corpuslens-checkpoints"
+    if root:
+        return root
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/corpuslens-checkpoints"
+
+
+def heavy_above(rows: int, keys: int = 5000, least: int = 100_000) -> int:
+    """A count of rows that fewer than `keys` keys of a table of that many rows can exceed, and that is much for one task."""
+    return max(least, rows // keys)
+
+
+def join_to_one(many: DataFrame, one: DataFrame, on: list[str], count: str, heavy: int) -> DataFrame:
+    """many, left-joined to its row of `one` (one row per key, none null); `count` is how many rows of many the key has.
+
+    Keys above `heavy` are broadcast, so that no task gets all rows of one; heavy_above() bounds their number.
+    """
+    few = F.broadcast(one.where(F.col(count) > heavy))
+    rest = many.join(few.select(*on), on, "left_anti")
+    return many.join(few, on).unionByName(rest.join(one.where(F.col(count) <= heavy), on, "left"))
 
 
 class Scratch:

@@ -2,13 +2,17 @@ import hashlib
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslens.llm import decontaminate, imatch, ngram_join
+from corpuslens.llm import components as components_module
+from corpuslens.llm import decontaminate, imatch, ngram_join, shared
+from corpuslens.llm import pipeline as stages
 from corpuslens.llm.components import connected_components
 from corpuslens.llm.shared import Scratch, words_of
 
@@ -33,7 +37,11 @@ def components(edges, nodes):
     return {x: root(x) for x in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("least", [100_000, 2])
+def test_components(spark, monkeypatch, least):
+    # with a low bound every node of three edges is a hub
+    usual = shared.heavy_above
+    monkeypatch.setattr(components_module, "heavy_above", lambda rows: usual(rows, least=least))
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
     got = connected_components(spark.createDataFrame([*edges, (None, 1)], "u long, v long"), Scratch(spark, "test"), "c")
@@ -81,20 +89,31 @@ def near_copies(seed, groups=6, most=30):
     return list(enumerate(docs, 10))
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"dense": 2, "block": 3, "salts": 2}), (3, {"dense": 1, "orders": 3, "block": 2})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"share": 0.05, "block": 3}), (3, {"share": 1.0, "orders": 3, "block": 2}), (6, {"orders": 1})])
 def test_join_is_exact(spark, seed, options):
     docs = near_copies(seed)
     got = ngram_join.jaccard_components(frame(spark, docs), **options)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_force(docs)
 
 
-def test_dense_lists_with_hot_tokens(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HELD", 8)
+@pytest.mark.parametrize("share", [0.1, 0.9])
+def test_long_lists_with_hot_tokens(spark, monkeypatch, share):
+    # every token that any two sets share stands out, so that its lists are dealt to parts
+    usual = ngram_join.sketch_bands
+    monkeypatch.setattr(ngram_join, "sketch_bands", lambda scanned: usual(scanned) + (hot_cells(scanned) > 1) * 2)
     docs = near_copies(4, groups=2, most=80)
-    got = ngram_join.jaccard_components(frame(spark, docs), dense=3, block=5)
+    got = ngram_join.jaccard_components(frame(spark, docs), share=share, block=5)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_force(docs)
 
 
+def hot_cells(scanned):
+    counts = np.zeros(1 << ngram_join.SKETCH_BITS, np.int64)
+    width = len(counts) // ngram_join.SKETCH_PARTS
+    for r in scanned.where("counts is not null").collect():
+        counts[r["part"] * width : (r["part"] + 1) * width] += np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+    return counts.astype(np.uint8)
+
+
 def test_join_edges(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
     rows = ngram_join.jaccard_components(frame(spark, [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, None), (3, "x " * 50_000)])).collect()
@@ -223,6 +242,49 @@ def test_edited_texts(spark, buckets):
     assert got[1001]["fingerprint"] == got[1002]["fingerprint"] and got[1001]["near_next"] == 1.0
 
 
+def fingerprints_by_hand(spark, docs, low, high, subsets, halvings):
+    """Every column by loops; only the 64-bit hashes are asked from Spark."""
+    rows = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
+    texts = [t or "" for _, t in rows]
+    new = [t[: len(t) - len(t) // 2] + texts[(k + 1) % len(texts)][: len(t) // 2] for k, t in enumerate(texts)]
+    split = lambda t: {w for w in re.split(r"[^\w]+|_", t.lower()) if w}
+    df = Counter(w for t in texts for w in split(t))
+    band = sorted(w for w, n in df.items() if max(2, low * len(rows)) <= n <= max(2, high * len(rows)))
+    cells = [F.xxhash64(F.lit(k), "w") for k in range(halvings)]
+    masks = {w: -1 for w in band}
+    for r in spark.createDataFrame([(w,) for w in band] or [("",)], "w string").select("w", *cells).collect():
+        for h in r[1:]:
+            if r[0] in masks:
+                masks[r[0]] &= h
+
+    def marks(t):
+        own = sorted(w for w in split(t) if masks.get(w))
+        return {k: tuple(w for w in own if masks[w] >> k & 1) for k in range(subsets) if any(masks[w] >> k & 1 for w in own)} if own else {subsets: t} if t else {}
+
+    near = lambda a, b: sum(a[k] == b.get(k) for k in a) / len(a.keys() | b.keys()) if a or b else 0.0
+    f = [marks(t) for t in texts]
+    return [(r[0], len(t), hashlib.sha256(e.encode()).hexdigest(), f[k], marks(e), near(f[k], marks(e)), near(f[k], f[(k + 1) % len(f)])) for k, (r, t, e) in enumerate(zip(rows, texts, new, strict=True))]
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_fingerprints_against_brute_force(spark, buckets):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(80)] + ["Ünï", "É"]
+    docs = [(3 * i, " ".join(rng.choices(words, weights=range(82, 0, -1), k=rng.randint(0, 60)))) for i in range(70)] + [(None, "no id w1"), (900, None), (901, "zzz qqq"), (902, docs_text := "w3 w4, w5 W6"), (903, docs_text)]
+    got = {r["doc_id"]: r for r in imatch.edit_fingerprints(frame(spark, docs), low=0.05, high=0.6, subsets=64, halvings=2, buckets=buckets).collect()}
+    due = fingerprints_by_hand(spark, docs, 0.05, 0.6, 64, 2)
+    assert len(got) == len(due)
+    shown = {}
+    for i, n, sha, f, e, near_edited, near_next in due:
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (n, sha)
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(near_edited), pytest.approx(near_next)), i
+        # equal marks, and only they, are shown alike
+        for marks, text in ((f, r["fingerprint"]), (e, r["edited_fingerprint"])):
+            assert shown.setdefault(text, marks) == marks and len(text) == 10 * len(marks)
+    assert len(shown) == len({repr(sorted(m.items())) for m in shown.values()})
+
+
 def test_fingerprints_tell_texts_apart(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(600)]
@@ -269,13 +331,31 @@ def test_rows_are_kept_and_dropped_by_their_own_text(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = frame(spark, [(None, own(1)), (None, own(2) + " " + item), (7, own(3)), (7, own(4)), (7, own(4)), (9, own(4)), (8, item), (8, own(5)), (None, None)])
     texts = lambda df: sorted((r["doc_id"] or 0, r["text"] or "") for r in df.collect())
-    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    kept = stages.near_duplicates(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert texts(kept) == sorted([(0, own(1)), (0, own(2) + " " + item), (7, own(3)), (7, own(4)), (8, item), (8, own(5)), (0, "")])
-    clean = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    clean = stages.decontaminated(spark, docs, str(tmp_path))
     assert texts(clean) == sorted([(0, own(1)), (7, own(3)), (7, own(4)), (7, own(4)), (9, own(4)), (8, own(5)), (0, "")])
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows and extra columns with names of the operators' own."""
+    item = "secret benchmark passage of exactly ten words or a few more here"
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = DOC + ", score double, lang_pred string, ids array<int>, component_id string"
+    rows = [(i, t, x, None, None, i, "c", 0.5, "zz", [1], "k") for i, t, x in [(1, "some plain words here", "en"), (1, "some plain words here", "en"), (None, "no id at all", None), (2, None, None), (3, "", "fr"), (4, item, None), (None, None, None)]]
+    for data in (rows, []):
+        at = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == spark.createDataFrame([], schema).columns, name
+            at.write.parquet(str(tmp_path / f"{name}-{len(data)}"))
+            at = spark.read.parquet(str(tmp_path / f"{name}-{len(data)}"))
+        assert sorted((r["doc_id"] or 0, r["text"], r["score"]) for r in at.collect()) == ([(0, "no id at all", 0.5), (1, "some plain words here", 0.5)] if data else [])
+        done = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
+        assert done.columns == ["doc_id", "ids", "n_tokens"] and done.count() == (2 if data else 0)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline_against_brute_force(spark):
     from corpuslens.llm import pii, sentencepiece_codec
