@@ -2,18 +2,23 @@
 
 The lexicon holds the terms whose document frequency lies between two shares of all documents, an
 inverse-document-frequency band.  At most mean distinct terms / lower share terms can reach the
-lower share, so the lexicon's size is bounded whatever the corpus.  A seedless hash deals the
-lexicon to `subsets` random subsets.  A text's terms in one subset, distinct and sorted, are
-hashed; the fingerprint is the list of these hashes.  Two fingerprints are as alike as the share
-of subsets, among those that either uses, that agree.
+lower share, so the lexicon's size is bounded whatever the corpus.  Each of `subsets` random
+subsets keeps every lexicon term with the same chance, 1 in 2^halvings, drawn anew for each, so
+that subsets overlap.  A text's terms in one subset, distinct and sorted, are hashed; the
+fingerprint is the list of these hashes.  Two fingerprints are as alike as the share of subsets,
+among those that either uses, that agree.
 
 Documents are dealt to range buckets of doc_id once, each with a copy of the next bucket's first
 document; "the next document", the terms and the fingerprints are all made inside the buckets, so
-texts are shuffled once.  DataFrame functions only.
+texts are shuffled once.  Terms meet the lexicon once, each with one mask of its subsets, and come
+back as one sorted array per document, from which all subsets are hashed inside the row.
+DataFrame functions only.
 
 Defined results: null text is empty.  A text without lexicon terms has one hash, of the whole
 text; an empty text has none and is like nothing.  Documents follow by doc_id, then text; null
-doc_ids come first.  The last is followed by the first, a single document by itself.
+doc_ids come first.  The last is followed by the first, a single document by itself.  Rows that
+repeat a doc_id are documents of their own.  An empty table gives an empty result; other columns
+are not read.  A text may be of any length; its distinct terms are held by one task.
 """
 
 from __future__ import annotations
@@ -30,13 +35,17 @@ def terms(text: str | Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), NOT_TERM), ""))
 
 
-def lexicon(docs: DataFrame, low: float, high: float, subsets: int) -> DataFrame:
-    """(term, subset): terms that at least `low` (and two) and at most `high` of the documents have."""
+def lexicon(docs: DataFrame, low: float, high: float, halvings: int) -> DataFrame:
+    """(term, mask): terms that at least `low` (and two) and at most `high` of the documents have, in some subset.
+
+    Bit k of the mask says whether subset k keeps the term: the bits that `halvings` hashes share.
+    """
     n = docs.count()
     counts = docs.select(F.explode(terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select(
-        "term", F.pmod(F.xxhash64("term"), F.lit(subsets)).cast("int").alias("subset")
-    )
+    mask = F.xxhash64(F.lit(0), "term")
+    for k in range(1, halvings):
+        mask = mask.bitwiseAND(F.xxhash64(F.lit(k), "term"))
+    return counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term", mask.alias("mask")).where("mask <> 0")
 
 
 def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -86,21 +95,33 @@ def shown(fingerprint: str) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 10, "0")), "")
 
 
+def hashes(kept: Column, subsets: int) -> Column:
+    """The subset << 32 | hash of each subset that keeps any of the terms; kept: sorted array of struct<term, mask>."""
+
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    each = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda k: F.filter(kept, lambda x: x["mask"].bitwiseAND(bit(k)) != 0))
+    return F.array_compact(F.transform(each, lambda own, k: slot(k, F.xxhash64(own), F.size(own) > 0)))
+
+
+def slot(subset: Column, h: Column, used: Column) -> Column:
+    return F.when(used, F.shiftleft(subset.cast("long"), 32).bitwiseOR(h.bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
 def edit_fingerprints(
-    docs: DataFrame, low: float = 0.002, high: float = 0.2, subsets: int = 64, buckets: int | None = None, small: int = 500_000
+    docs: DataFrame, low: float = 0.002, high: float = 0.2, subsets: int = 64, halvings: int = 5, buckets: int | None = None, small: int = 500_000
 ) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row of docs (doc_id, text)."""
+    if not 1 <= subsets <= 64:
+        raise ValueError("one to 64 subsets")
     spark = docs.sparkSession
     scratch = Scratch(spark, "imatch")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    band = scratch.save(lexicon(docs, low, high, subsets), "lexicon")
+    band = scratch.save(lexicon(docs, low, high, halvings), "lexicon")
     if band.count() <= small:
         band = F.broadcast(band)
     rows = with_next(docs, buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), scratch)
     rows = rows.withColumn("new", F.when(~F.col("ghost"), edited(F.col("text"), F.col("next"))).otherwise(""))
-    low_bits = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
-    slot = lambda subset, h: F.shiftleft(subset.cast("long"), 32).bitwiseOR(low_bits(h))
-    whole = lambda c: F.when(F.length(c) > 0, slot(F.lit(subsets), F.xxhash64(c)))
+    whole = lambda c: slot(F.lit(subsets), F.xxhash64(c), F.length(c) > 0)
     of = lambda c, which: F.transform(terms(c), lambda t: F.struct(F.lit(which).alias("which"), t.alias("term")))
     rows = rows.select(
         "bucket",
@@ -111,15 +132,13 @@ def edit_fingerprints(
         ).alias("meta"),
         F.concat(F.array(F.struct(F.lit(2).alias("which"), F.lit(None).cast("string").alias("term"))), of("text", 0), of("new", 1)).alias("each"),
     )
-    rows = rows.select("bucket", "rn", "meta", F.inline("each")).join(band, "term", "left").where("subset is not null or which = 2")
-    per = rows.groupBy("bucket", "rn", "which", "subset").agg(
-        F.array_sort(F.collect_list("term")).alias("terms"), F.first(F.when(F.col("which") == 2, F.col("meta")), True).alias("meta")
-    )
-    mark = slot(F.col("subset"), F.xxhash64("terms"))
-    prints = lambda which: F.array_sort(F.collect_list(F.when(F.col("which") == which, mark)))
-    per = per.groupBy("bucket", "rn").agg(F.first("meta", True).alias("meta"), prints(0).alias("f0"), prints(1).alias("f1"))
-    full = lambda f, w: F.when(F.size(f) > 0, F.col(f)).otherwise(F.array_compact(F.array(F.col(f"meta.{w}"))))
-    per = per.select("bucket", "rn", "meta", full("f0", "w0").alias("f0"), full("f1", "w1").alias("f1"))
+    # the meta of a row goes with its first entry only
+    rows = rows.select("bucket", "rn", "meta", F.inline("each")).withColumn("meta", F.when(F.col("which") == 2, F.col("meta")))
+    rows = rows.join(band, "term", "left").where("mask is not null or which = 2")
+    kept = lambda which: F.array_sort(F.collect_list(F.when(F.col("which") == which, F.struct("term", "mask")))).alias(f"t{which}")
+    per = rows.groupBy("bucket", "rn").agg(F.first("meta", True).alias("meta"), kept(0), kept(1))
+    full = lambda t, w: F.when(F.size(t) > 0, hashes(F.col(t), subsets)).otherwise(F.array_compact(F.array(F.col(f"meta.{w}"))))
+    per = per.select("bucket", "rn", "meta", full("t0", "w0").alias("f0"), full("t1", "w1").alias("f1"))
     per = per.withColumn("f2", F.lead("f0").over(Window.partitionBy("bucket").orderBy("rn")))
     return per.where(~F.col("meta.ghost")).select(
         "meta.doc_id",
