@@ -14,7 +14,9 @@ are compressed sorted differences.  All counts are over all training rows.
 
 Tokens: A-Z lower-cased, runs of [^\\x20\\x09-\\x0D], then one end per text.  Defined results: a
 null or empty text is its end alone.  A null doc_id is a training row.  With no training token
-every word is unknown; the model is then uniform over one unknown word.
+every word is unknown; the model is then uniform over one unknown word.  Rows that repeat a doc_id
+count and are scored each by its own text.  An empty table gives an empty result.  Other columns
+are kept by scored(), but for those named like a new one.  Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -350,10 +352,11 @@ def train(docs: DataFrame, shards: int | None = None) -> dict:
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """docs' columns but text, with n_tokens, n_known, train_tokens, base_score, score."""
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    """docs' columns but text, with n_tokens, n_known, train_tokens, base_score, score and perplexity per token."""
+    new = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double", "perplexity": "double"}
+    kept = [f for f in docs.schema.fields if f.name != "text" and f.name not in new]
     schema = T.StructType(list(kept))
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
+    for name, kind in new.items():
         schema.add(name, kind)
 
     def run(batches):
@@ -363,14 +366,15 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                 part = b.slice(at, 1000)
                 n, known, base, full = m.score(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(f.name) for f in kept), pa.array(n), pa.array(known), pa.array(np.full(len(n), m.tokens)), pa.array(base), pa.array(full)], names=schema.names
+                    [*(part.column(f.name) for f in kept), pa.array(n), pa.array(known), pa.array(np.full(len(n), m.tokens)), pa.array(base), pa.array(full), pa.array(10.0 ** (-full / n))],
+                    names=schema.names,
                 )
 
     return docs.mapInArrow(run, schema)
 
 
 def document_scores(docs: DataFrame, modulus: int = 10, out: int = 0) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from the rows not held out."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity); learns from the rows not held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == out, F.lit(False))
     model = train(docs.where(~held).select("text"))
     return scored(docs.select("doc_id", held.alias("held_out"), "text"), model)

@@ -9,7 +9,10 @@ Merges never cross from another character to a marker unless a piece holds a mar
 text is cut there, and distinct segments are encoded once per batch, on several threads.
 
 Defined results: null or empty text has no ids and decodes to "".  Text of surrogates only never
-occurs in Spark strings.  Unknown pieces decode to the model's unknown surface.
+occurs in Spark strings.  Unknown pieces decode to the model's unknown surface.  Each row is encoded
+by its own text, whatever its doc_id; repeated rows give repeated results.  Of equally good merges
+the earlier piece wins.  Empty tables give empty results; columns but doc_id and text are not read.
+A text of any length is encoded whole; a marker cuts it, so the pieces that are held are words.
 """
 
 from __future__ import annotations

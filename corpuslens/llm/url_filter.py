@@ -8,7 +8,9 @@ string, so a digest collision decides nothing.
 A rule fits its host and all subdomains, where the url's path starts with the rule's path.  The
 longest rule (host and path together) wins, of equally long ones the longer host, then `block`.
 Defined results: null url or no `://` -> empty host and path, no rule, the default verdict.
-Repeated rules count once; a rule listed both ways blocks.
+Repeated rules count once; a rule listed both ways blocks.  Repeated pages give repeated results; an
+empty table or rule set gives no row or no rule.  Columns but page_id and url are not read.  Urls of
+any length are judged whole.  All rules are held by the driver while it sorts them.
 """
 
 from __future__ import annotations
