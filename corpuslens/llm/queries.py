@@ -75,6 +75,24 @@ QUERIES = {
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP1_SQL = rf"""
+WITH RECURSIVE lowered AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(1, len(w) - 3)), lambda i: array_to_string(w[i:i + 3], ' '))) AS g
+  FROM lowered WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS whole FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT reached.doc_id, edges.v FROM reached JOIN edges ON reached.other = edges.u),
+groups AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+  CASE WHEN n IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY whole) END AS n_copies
+FROM lowered LEFT JOIN sizes USING (doc_id) LEFT JOIN groups USING (doc_id)
+"""
+
 OP3_SQL = rf"""
 WITH lowered AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
@@ -146,4 +164,4 @@ SELECT pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
 FROM sides LEFT JOIN chosen_spans cs USING (pair_id) LEFT JOIN rejected_spans rs USING (pair_id)
 """
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_preferences": OP8_SQL}
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_preferences": OP8_SQL}
