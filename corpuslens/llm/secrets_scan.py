@@ -16,6 +16,9 @@ adds the spans.
 
 Defined results: null or empty text has no span.  Offsets are code points, the end exclusive; an
 `assign` span is the whole match, with its key.  Candidates that overlap a plain span are dropped.
+Each row is judged by its own text, and repeated rows give repeated results; in the histograms every
+row counts.  Of equal scores all or none pass.  An empty table gives an empty result; columns but
+doc_id and text are not read.  Texts of any length take time in proportion to it.
 """
 
 from __future__ import annotations
@@ -40,11 +43,20 @@ PART, SEGMENT = re.compile(r"[A-Za-z0-9+/_-]{16,}"), re.compile(r"[A-Za-z0-9+_-]
 LONGEST, BANDS, BINS = 512, 12, 200
 
 
+KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
+
 def plain_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) by start, then kind as listed."""
-    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if m.end() - m.start() >= 16]
+    """(start, end, kind) by start, then kind as listed.
+
+    What is long enough for a hex or access span lies in a long run of characters.
+    """
+    out, low = [], text.lower()
+    if any(k in low for k in KEYS):
+        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    if "AKIA" in text:
+        out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    out += [(m.start(), m.end(), "hex") for run in RUN.finditer(text) for m in HEX.finditer(text, *run.span()) if m.end() - m.start() >= 16]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -125,34 +137,54 @@ def randomness(run: str) -> float:
     return math.exp(-half_stat) * (1 + half_stat + half_stat * half_stat / 2)
 
 
-def each(f, values: np.ndarray) -> np.ndarray:
-    return np.fromiter(map(f, values.tolist()), float, len(values))
+# log(erfc) on a fine grid; beyond its end the value counts as 1e-100
+GRID = np.linspace(-12.0, 15.0, 27_001)
+LOG_ERFC = np.log([max(math.erfc(x), 1e-100) for x in GRID])
 
 
-def randomness_rows(x: np.ndarray, size: int) -> np.ndarray:
-    """randomness() of each row of codes below `size`, all rows of one length."""
+def log_erfc(x: np.ndarray) -> np.ndarray:
+    return np.interp(x, GRID, LOG_ERFC)
+
+
+def batteries(x: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """randomness() of each row of codes, all rows of one length, per alphabet size; all codes are below each size."""
     m, n = x.shape
-    groups = max(2, min(size, n // 4))
-    edge = np.arange(size) * groups // size
-    expected = np.bincount(edge, minlength=groups) * n / size
-    counts = np.bincount((np.arange(m)[:, None] * groups + edge[x]).ravel(), minlength=m * groups).reshape(m, groups)
-    chi2 = ((counts - expected) ** 2 / expected).sum(axis=1)
-    half = x * 2 >= size
-    a = half.sum(axis=1)
-    mean = 2 * a * (n - a) / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    runs = 1 + (half[:, 1:] != half[:, :-1]).sum(axis=1)
-    v = x.astype(float)
-    total, average = v.sum(axis=1), v.mean(axis=1)
-    den = np.einsum("ij,ij->i", v, v) - n * average**2
-    lag = np.einsum("ij,ij->i", v[:, :-1], v[:, 1:]) - average * (2 * total - v[:, 0] - v[:, -1]) + (n - 1) * average**2
-    k = groups - 1
-    z = (np.cbrt(chi2 / k) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
-    p1 = np.where(chi2 > 0, 0.5 * each(math.erfc, z / math.sqrt(2)), 1.0)
-    p2 = np.where(var > 0, each(math.erfc, np.abs(runs - mean) / np.sqrt(np.where(var > 0, var, 1) * 2)), 0.0)
-    p3 = np.where(den > 1e-9, each(math.erfc, np.abs(lag) / np.where(den > 1e-9, den, 1) * math.sqrt(n / 2)), 0.0)
-    half_stat = -sum(np.log(np.maximum(p, 1e-100)) for p in (p1, p2, p3))
-    return np.where((a > 0) & (a < n), np.exp(-half_stat) * (1 + half_stat + half_stat * half_stat / 2), 0.0)
+    codes = int(x.max(initial=0)) + 1
+    counts = np.bincount((np.arange(m)[:, None] * codes + x).ravel(), minlength=m * codes).reshape(m, codes).astype(np.float64)
+    value = np.arange(codes)
+    total, squares = counts @ value, counts @ (value * value)
+    average = total / n
+    v = x.astype(np.float32)  # sums of products of codes are whole numbers that it holds
+    products = np.einsum("ij,ij->i", v[:, :-1], v[:, 1:]).astype(np.float64)
+    den = squares - n * average**2
+    lag = products - average * (2 * total - x[:, 0] - x[:, -1]) + (n - 1) * average**2
+    flat = den > 1e-9
+    p3 = np.where(flat, log_erfc(np.abs(lag) / np.where(flat, den, 1) * math.sqrt(n / 2)), LEAST)
+    out = []
+    for size in sizes:
+        groups = max(2, min(size, n // 4))
+        edge = np.arange(size) * groups // size
+        expected = np.bincount(edge, minlength=groups) * n / size
+        chi2 = (counts @ np.eye(groups)[edge[:codes]]) ** 2 @ (1 / expected) - n
+        a = counts[:, value * 2 >= size].sum(axis=1)
+        mean = 2 * a * (n - a) / n + 1
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        half = x * 2 >= size
+        runs = 1 + np.count_nonzero(half[:, 1:] != half[:, :-1], axis=1)
+        k = groups - 1
+        z = (np.cbrt(np.maximum(chi2, 0) / k) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+        p1 = np.where(chi2 > 1e-9, log_erfc(z / math.sqrt(2)) - math.log(2), 0.0)
+        p2 = np.where(var > 0, log_erfc(np.abs(runs - mean) / np.sqrt(np.where(var > 0, var, 1) * 2)), LEAST)
+        half_stat = -sum(np.maximum(p, LEAST) for p in (p1, p2, p3))
+        out.append(np.where((a > 0) & (a < n), np.exp(-half_stat) * (1 + half_stat + half_stat * half_stat / 2), 0.0))
+    return out
+
+
+LEAST = math.log(1e-100)
+
+
+def randomness_rows(x: np.ndarray, size: int) -> np.ndarray:
+    return batteries(x, (size,))[0]
 
 
 def is_ordinary(run: str) -> bool:
@@ -204,9 +236,10 @@ def add_ordinary(null: np.ndarray, texts: list[np.ndarray]) -> None:
     for k, n in enumerate(LENGTHS):
         cut = [x[: len(x) // n * n] for x in texts if len(x) >= n]
         rows = np.concatenate(cut).reshape(-1, n) if cut else np.empty((0, n), np.int64)
-        for at in range(0, len(rows), 1 << 14):
-            for row, size in ((k, 36), (BANDS + k, 26)):
-                null[row] += np.bincount(bins_of(randomness_rows(rows[at : at + (1 << 14)], size)), minlength=BINS)
+        step = max(1, (1 << 16) // n)  # rows that stay in a processor's cache
+        for at in range(0, len(rows), step):
+            for row, p in zip((k, BANDS + k), batteries(rows[at : at + step], (36, 26)), strict=True):
+                null[row] += np.bincount(bins_of(p), minlength=BINS)
 
 
 def histograms(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
