@@ -3,17 +3,24 @@
 Plain detectors run on the source text.  Then transducers rewrite the text: homoglyphs to ASCII,
 invisible characters away, spelled digits to digits, bracketed or spelled at / dot / plus to their
 signs.  Each keeps, per character of its output, the source span it came from, so that what the
-same detectors find in the rewritten text maps back to the source.  Such a span is added if no
-plain span of its kind overlaps it.  Every rule is tried on every text.
-
-Defined results: null or empty text has no span.  Offsets are code points, the end exclusive.
+same detectors find in the rewritten text maps back to the source.  Such a span is added unless it
+lies in a plain span of its kind; so an address whose tail alone is in plain sight is found whole.
+Every rule is tried on every text.  Not covered: digits spelled in other languages than the four
+below, numbers spelled as tens or hundreds, and letters spelled by name.
+
+Defined results: null or empty text has no span.  Offsets are code points, the end exclusive.  Each
+row is judged by its own text, whatever its doc_id, and repeated rows give repeated results.  An
+empty table gives an empty result; columns but doc_id and text are not read.  Texts of any length
+take time in proportion to it.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match never starts inside a run of digits: the run's first digit would have matched too
-IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+IP, IP_CORE = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}"), re.compile(r"\.[0-9]+\.[0-9]+\.[0-9]")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -74,7 +81,7 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     out = [("email", s, e) for s, e in emails(text)]
     for kind, pattern, ok in (("ip", IP, is_ip), ("card", CARD, is_card), ("phone", PHONE, is_phone)):
-        if kind == "phone" and "+" not in text:
+        if kind == "phone" and "+" not in text or kind == "ip" and not IP_CORE.search(text):
             continue
         out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if ok(m[0])]
     return out
@@ -104,6 +111,9 @@ def homoglyphs() -> dict[int, str]:
 
 
 HOMOGLYPHS = homoglyphs()
+# characters that match an ASCII letter in any case without being one
+ODD_CASE = re.compile("[İıſK]")
+LOOKALIKE = frozenset(map(chr, HOMOGLYPHS))
 INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]+")
 # Names of the digits in English, French, German and Spanish.
 DIGITS = {
@@ -130,7 +140,14 @@ SPOKEN_DOT = re.compile(
 )
 SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+(?:at|arroba)[ \t]+(?=[A-Za-z0-9-]+\.[A-Za-z])", re.I)
 SPOKEN_PLUS = re.compile(r"\bplus[ \t]+(?=[0-9])", re.I)
-SIGNS = ((AT, "@"), (DOT, "."), (SPOKEN_DOT, "."), (SPOKEN_AT, "@"), (SPOKEN_PLUS, "+"))
+# each rule with a part of it that is found faster
+SIGNS = (
+    (AT, re.compile(r"[\[({<][ \t]*(?:at|@|arroba|chez)[ \t]*[\])}>]", re.I), "@"),
+    (DOT, re.compile(r"[\[({<][ \t]*(?:dot|\.|punto|point|punkt)[ \t]*[\])}>]", re.I), "."),
+    (SPOKEN_DOT, re.compile(r"[ \t](?:dot|punto|punkt)[ \t]", re.I), "."),
+    (SPOKEN_AT, re.compile(r"[ \t](?:at|arroba)[ \t]", re.I), "@"),
+    (SPOKEN_PLUS, re.compile(r"plus[ \t]+[0-9]", re.I), "+"),
+)
 
 
 BRACKETED_DOT = r"[ \t]*[\[({<][ \t]*(?:dot|\.|punto|point|punkt)[ \t]*[\])}>][ \t]*"
@@ -139,18 +156,38 @@ JOINT = rf"(?:{BRACKETED_DOT}|[ \t]+(?:dot|punto|punkt)[ \t]+|\.|{GAP})"
 MIXED = re.compile(rf"(?<!\w)(?:{NAME}|[0-9]++)(?!\w)(?:{JOINT}(?:{NAME}|[0-9]++)(?!\w))*+", re.I)
 TOKEN = re.compile(rf"(?<!\w)(?:({NAME})|[0-9]+)(?!\w)", re.I)
 GAP_ONLY = re.compile(GAP)
-ANY_NAME = re.compile(rf"\b{NAME}\b", re.I)
+ANY_NAME = re.compile(rf"\b{NAME}\b")  # in lower-cased text
 PLUS_BEFORE = re.compile(r"(?:\+|\bplus[ \t])[ \t(]*\Z", re.I)
 
 
-def mixed_edits(text: str) -> list[tuple[int, int, str]]:
+FOLDED = str.maketrans("İıſK", "iisk")
+
+
+def digit_of(name: str) -> str:
+    return str(DIGITS[name.translate(FOLDED).lower()])
+
+
+def lines_with_names(text: str) -> list[tuple[int, int]]:
+    """The lines with a digit's name; no run goes on over a line's end."""
+    low, out, at = text.translate(FOLDED).lower() if ODD_CASE.search(text) else text.lower(), [], 0
+    if len(low) != len(text):
+        return [(0, len(text))]
+    while m := ANY_NAME.search(low, at):
+        start, at = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        out.append((start, at if at >= 0 else len(text)))
+        if at < 0:
+            break
+    return out
+
+
+def mixed_edits(text: str, lines: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, new) that write the names in runs of names, digits and dots as digits.
 
     A name alone counts only after a plus.  Gaps go where a name is beside them; dots and the gaps
     between digit groups stay.
     """
     edits = []
-    for run in MIXED.finditer(text):
+    for run in (m for line in lines for m in MIXED.finditer(text, *line)):
         tokens = list(TOKEN.finditer(text, *run.span()))
         if not any(m[1] for m in tokens):
             continue
@@ -161,77 +198,111 @@ def mixed_edits(text: str) -> list[tuple[int, int, str]]:
             if before and (before[1] or m[1]) and GAP_ONLY.fullmatch(text, before.end(), m.start()):
                 edits.append((before.end(), m.start(), ""))
             if m[1]:
-                edits.append((*m.span(), str(DIGITS[m[0].lower()])))
+                edits.append((*m.span(), digit_of(m[0])))
             before = m
     return edits
 
 
 class Rewritten:
-    """A text with the source span of each of its characters."""
+    """A text with the source span of each of its characters; the spans are listed from the first edit on."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.start, self.end = text, range(len(text)), range(1, len(text) + 1)
 
     def edit(self, edits: list[tuple[int, int, str]]) -> bool:
         """Replaces text[s:e] by `new`, in order; each new character stands for the whole of it."""
+        if not edits:
+            return False
         out, start, end, at = [], [], [], 0
         for s, e, new in edits:
             out += [self.text[at:s], new]
-            start += self.start[at:s] + [self.start[s]] * len(new)
-            end += self.end[at:s] + [self.end[e - 1]] * len(new)
+            start += self.start[at:s]
+            start += [self.start[s]] * len(new)
+            end += self.end[at:s]
+            end += [self.end[e - 1]] * len(new)
             at = e
-        if not edits:
-            return False
-        self.text, self.start, self.end = "".join(out) + self.text[at:], start + self.start[at:], end + self.end[at:]
+        start += self.start[at:]
+        end += self.end[at:]
+        self.text, self.start, self.end = "".join(out) + self.text[at:], start, end
         return True
 
     def sub(self, pattern: re.Pattern, to) -> bool:
         """Replaces matches by to(match)."""
         return self.edit([(*m.span(), to(m)) for m in pattern.finditer(self.text)])
 
-    def digits(self) -> bool:
-        """Spelled digits; each digit keeps the span of its own name."""
+    def copy(self) -> Rewritten:
+        new = Rewritten("")
+        new.text, new.start, new.end = self.text, self.start, self.end
+        return new
+
+    def digits(self, lines: list[tuple[int, int]]) -> bool:
+        """Spelled digits of these lines; each digit keeps the span of its own name."""
         edits = []
-        for run in SPELLED.finditer(self.text):
+        for run in (m for line in lines for m in SPELLED.finditer(self.text, *line)):
             at = run.start()
             for m in ONE_NAME.finditer(self.text, run.start(), run.end()):
-                edits += [(at, m.start(), "")] * (m.start() > at) + [(*m.span(), str(DIGITS[m[0].lower()]))]
+                edits += [(at, m.start(), "")] * (m.start() > at) + [(*m.span(), digit_of(m[0]))]
                 at = m.end()
         return self.edit(edits)
 
     def signs(self) -> None:
-        for pattern, sign in SIGNS:
-            self.sub(pattern, lambda m: sign)
+        for pattern, core, sign in SIGNS:
+            if core.search(self.text):
+                self.sub(pattern, lambda m: sign)
+
+
+WORD = re.compile(r"\w+")
+# Words of which one is in any text that a rule could rewrite, unless a bracket or an odd character is.
+SIGN_WORDS = {"at", "arroba", "chez", "dot", "punto", "point", "punkt", "plus"}
+BRACKET = re.compile(r"[\[({<]")
 
 
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows, in the source's offsets."""
-    clear = text if text.isascii() else text.translate(HOMOGLYPHS)
-    hidden = not text.isascii() and INVISIBLE.search(clear)
-    mixed = ANY_NAME.search(clear) or hidden
+    odd = not text.isascii()
+    clear = text.translate(HOMOGLYPHS) if odd and not LOOKALIKE.isdisjoint(text) else text
+    hidden = odd and INVISIBLE.search(clear)
+    # each name and sign word is a whole word, so the set of words says which rules can match
+    words = set(WORD.findall(clear.lower()))
+    unsure = hidden or odd and ODD_CASE.search(clear)
+    names = unsure or not words.isdisjoint(DIGITS)
+    signs = unsure or not words.isdisjoint(SIGN_WORDS) or BRACKET.search(clear)
     # where no rule has a match in this text, none gets one from another rule
-    if not (clear != text or hidden or mixed or any(p.search(clear) for p, _ in SIGNS)):
+    if not (clear is not text or hidden or names or signs):
         return []
+    base = Rewritten(clear)
+    if hidden:
+        base.sub(INVISIBLE, lambda m: "")
+    lines = lines_with_names(base.text) if names else []
     # two readings: runs of names only, and runs of names, digits and dots, which may take in a number beside them
     found = []
     for kind_of_run in ("names", "mixed"):
-        new = Rewritten(clear)
-        if hidden:
-            new.sub(INVISIBLE, lambda m: "")
+        new = base.copy()
         if kind_of_run == "names":
-            new.digits()
-        elif not (mixed and new.edit(mixed_edits(new.text))):
+            new.digits(lines)
+        elif not new.edit(mixed_edits(new.text, lines)):
             break
-        new.signs()
-        found += [(k, new.start[s], new.end[e - 1]) for k, s, e in plain_spans(new.text)]
-    taken = {k: bytearray(len(text)) for k in KINDS}
+        if signs:
+            new.signs()
+        if new.text != text:
+            found += [(k, new.start[s], new.end[e - 1]) for k, s, e in plain_spans(new.text)]
+    return longer_or_new(found, plain, len(text))
+
+
+def longer_or_new(found: list[tuple[str, int, int]], plain: list[tuple[str, int, int]], size: int) -> list[tuple[str, int, int]]:
+    """Those of `found` that lie in no plain span of their kind; of found ones that overlap the longest, then first."""
+    starts, ends = {k: [] for k in KINDS}, {k: [] for k in KINDS}
     for kind, s, e in plain:
-        taken[kind][s:e] = b"\1" * (e - s)
+        starts[kind].append(s)
+        ends[kind].append(e)
+    taken = {k: bytearray(size) for k in {x[0] for x in found}}
     out = []
     for kind, s, e in sorted(found, key=lambda x: (x[1] - x[2], x[1])):
-        if 1 not in taken[kind][s:e]:
-            taken[kind][s:e] = b"\1" * (e - s)
-            out.append((kind, s, e))
+        i = bisect.bisect_right(starts[kind], s) - 1
+        if i >= 0 and e <= ends[kind][i] or 1 in taken[kind][s:e]:
+            continue
+        taken[kind][s:e] = b"\1" * (e - s)
+        out.append((kind, s, e))
     return out
 
 
