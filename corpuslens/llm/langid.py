@@ -65,7 +65,7 @@ class LanguageModel:
         for k in np.unique(kind):
             own = kind == k
             rows[own] = np.log((rows[own] + 0.1) / (rows[own].sum(axis=0) + 0.1 * own.sum()))
-        return cls(languages, at[True], at[False], rows - rows.mean(axis=1, keepdims=True))
+        return cls(languages, at[True], at[False], rows - rows.mean(axis=1, keepdims=True) if languages else rows)
 
     def word(self, word: str) -> np.ndarray:
         at = self.words.get(word)

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corpuslens.llm import langid, ngram_lm, pii, preferences, secrets_scan, sentencepiece_codec, url_filter
+from corpuslens.llm import langid, ngram_lm, pii, preferences, queries, secrets_scan, sentencepiece_codec, url_filter
 from corpuslens.llm.shared import words_of
 
 DOC = "doc_id long, text string, lang string, extra string"
@@ -98,6 +98,24 @@ def test_every_rule_is_tried_on_every_text(text, span):
     assert pii.spans_of(far) == pii.spans_of(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "redacted"),
+    [
+        ("to jоe@site.com now", "to <EMAIL> now"),
+        ("jоe@site.com, ann@site.org, b0b аt x", "<EMAIL>, <EMAIL>, b0b аt x"),
+        ("write joe@mail dot site.com", "write <EMAIL>"),
+    ],
+)
+def test_a_span_may_begin_before_a_plain_one(text, redacted):
+    plain, found = pii.spans_of(text)
+    assert set(plain) <= set(found) and pii.redact(text) == redacted
+
+
+def test_disguises_beside_plain_ones_take_linear_time():
+    plain, found = pii.spans_of("jоe@site.com a@b.co ann [at] site [dot] org, " * 8000)
+    assert (len(plain), len(found)) == (16_000, 32_000)
+
+
 def test_long_blanks_take_linear_time():
     for text in ("a" + " " * 200_000 + "b", "one" + " " * 200_000 + "x", "a [dot] b" + "\t" * 200_000):
         pii.spans_of(text)
@@ -136,6 +154,37 @@ def test_secret_spans(spark):
     assert secrets_scan.secrets(frame(spark, [])).count() == 0
 
 
+def test_base_secrets_are_the_expressions():
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    rng = random.Random(11)
+    pieces = ["token=", "API_KEY: ", "apikey'=\"", "AKIA", "0123456789abcdef", "ſecret=", "Secret = ", " ", "\n", "=", "x"]
+    for _ in range(20_000):
+        text = "".join(rng.choice("abcdefAKI0123456789=:\"' tokenSECRET+/_.-") if rng.random() < 0.7 else rng.choice(pieces) for _ in range(rng.randint(0, 50)))
+        due = [(m.start(), m.end(), "assign") for m in re.finditer(assign, text, re.I | re.A) if len(m[2]) >= 12]
+        due += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        due += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        assert secrets_scan.plain_spans(text) == sorted(due, key=lambda x: (x[0], ["assign", "access", "hex"].index(x[2]))), text
+
+
+def test_thresholds_are_benjamini_hochberg():
+    rng = np.random.default_rng(5)
+    null = np.zeros((2 * secrets_scan.BANDS, secrets_scan.BINS), np.int64)
+    seen = np.zeros_like(null)
+    strings = []  # (band, bin) of every candidate
+    for band in range(2 * secrets_scan.BANDS):
+        np.add.at(null[band], rng.integers(0, 150, 400), 1)
+        strings += [(band, int(b)) for b in rng.choice([rng.integers(0, 150), rng.integers(185, 200)], 30)]
+    for band, b in strings:
+        seen[band, b] += 1
+    p = {(band, b): (null[band, b:].sum() + 1) / (null[band].sum() + 1) for band, b in strings}
+    ranked = sorted(p[x] for x in strings)
+    passed = max((v for i, v in enumerate(ranked) if v <= 0.01 * (i + 1) / len(ranked)), default=0.0)
+    cut = secrets_scan.thresholds(null, seen, 0.01)
+    floor = secrets_scan.bin_of(1e-4)
+    for band, b in strings:
+        assert (b >= cut[band]) == (p[band, b] <= passed and b >= floor)
+
+
 def test_randomness_separates(spark):
     rng = random.Random(5)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -243,6 +292,20 @@ def test_codec_parity():
         assert codec.decode(own.tolist()) == theirs.decode(own.tolist())
 
 
+def test_decoding_any_ids_is_the_librarys():
+    import sentencepiece
+
+    path = sentencepiece_codec.default_model()
+    codec, theirs = sentencepiece_codec.Codec(open(path, "rb").read()), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(3)
+    pieces = codec.model.pieces
+    of_bytes, marked = ([i for i, p in enumerate(pieces) if ok(p)] for ok in (re.compile("<0x..>").fullmatch, re.compile("▁").match))
+    for pool in (of_bytes, [0, 1, 2, *of_bytes[120:140], *marked[:20]], range(len(pieces)), [0, 1, 2, *marked[:9], *of_bytes]):
+        for _ in range(3000):
+            ids = [rng.choice(pool) for _ in range(rng.randint(0, 8))]
+            assert codec.decode(ids) == theirs.decode(ids), [pieces[i] for i in ids]
+
+
 def test_codec_frames(spark):
     path = sentencepiece_codec.default_model()
     df = frame(spark, EDGE)
@@ -272,20 +335,46 @@ def test_unigram_model_is_rebuilt():
 
 def test_preferences(spark):
     turns = [
-        (0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, None, None), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (4, 0, "user", "alone"),
+        (0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, None, None), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (1, 2, "assistant", "c"), (4, 0, "user", "alone"),
         (None, 0, "user", "x"), (5, 1, "assistant", "second"), (5, 0, "user", "first"), (5, 0, "user", "first"),
     ]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = {r["pair_id"]: r for r in preferences.formatted(preferences.swapped_last_turns(df)).collect()}
+    got = {r["pair_id"]: r for r in preferences.formatted(preferences.neighbour_branches(df)).collect()}
     assert set(got) == {0, 1, 4, 5}
-    assert got[1]["prompt"] == "<|user|>\nq<|end|>\n" and got[1]["chosen"] == "<|assistant|>\nb<|end|>\n"
-    assert got[1]["rejected"] == "<|assistant|>\n<|end|>\n"
-    s, e = map(int, got[1]["chosen_spans"].split(":"))
-    assert got[1]["chosen"][s:e] == "b<|end|>\n"
-    assert got[0]["n_prompt_turns"] == 2 and got[0]["chosen_spans"] == ""
+    # 1 keeps one turn of its own, then goes on as 0
+    assert got[1]["prompt"] == "<|user|>\nq<|end|>\n" and got[1]["chosen"] == "<|assistant|>\nb<|end|>\n<|assistant|>\nc<|end|>\n"
+    assert got[1]["rejected"] == "<|assistant|>\na<|end|>\n<|unknown|>\n<|end|>\n"
+    assert [got[1]["chosen"][int(s) : int(e)] for s, e in (x.split(":") for x in got[1]["chosen_spans"].split(","))] == ["b<|end|>\n", "c<|end|>\n"]
+    assert [got[1]["rejected"][int(s) : int(e)] for s, e in (x.split(":") for x in got[1]["rejected_spans"].split(","))] == ["a<|end|>\n"]
+    # 0 keeps none of its turns, but the first one of 1 is the same
+    assert got[0]["n_prompt_turns"] == 1 and got[0]["rejected"] == got[1]["chosen"]
     same = spark.sql("select 1 as pair_id, array(struct('user' as role, 'x' as text)) as chosen, array(struct('user' as role, 'x' as text)) as rejected")
     assert preferences.formatted(same).first()["chosen"] == ""
-    assert preferences.formatted(preferences.swapped_last_turns(df.limit(0))).count() == 0
+    shorter = spark.sql("select 1 as pair_id, array(struct('user' as role, 'x' as text)) as chosen, cast(array() as array<struct<role: string, text: string>>) as rejected")
+    assert tuple(preferences.formatted(shorter).first())[1:5] == (0, "", "<|user|>\nx<|end|>\n", "")
+    assert preferences.formatted(preferences.neighbour_branches(df.limit(0))).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    due = db.sql(queries.ORACLE[name])
+    columns = sorted(due.columns)
+    own = queries.QUERIES[name](spark, sf).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, own))) == sorted(map(repr, due.select(*columns).fetchall()))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_branches_part_at_many_turns(spark):
+    got = queries.op8_preferences(spark, "/root/testdata/sf0.001").collect()
+    ends = {(r["n_prompt_turns"], bool(r["chosen"]), bool(r["rejected"])) for r in got}
+    assert len({n for n, _, _ in ends}) >= 3 and len({e[1:] for e in ends}) >= 2
 
 
 # ---- language model
@@ -339,11 +428,15 @@ def test_language_model_is_kneser_ney(spark):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(w in counts for w in t), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in t))
         assert r["score"] == pytest.approx(sum(np.log10(p(h, w)) for h, w in zip([None, *t], t, strict=False)))
+        assert r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(t)))
     h = next(iter(counts))
     assert sum(p(h, w) for w in counts) + p(h, "unseen") == pytest.approx(1.0)
 
 
 def test_language_model_edges(spark):
+    clash = frame(spark, EDGE).selectExpr("doc_id", "text", "1 as score", "'x' as n_tokens", "extra")
+    scored = ngram_lm.scored(clash, ngram_lm.train(clash.select("text")))
+    assert scored.columns == ["doc_id", "extra", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"] and scored.count() == 6
     assert ngram_lm.document_scores(frame(spark, [])).count() == 0
     rows = ngram_lm.document_scores(frame(spark, EDGE)).collect()
     assert len(rows) == 6 and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1}
@@ -366,6 +459,66 @@ def test_language_identification(spark):
     assert langid.language_predictions(frame(spark, [])).count() == 0
 
 
+def test_language_scores_against_brute_force(spark):
+    """The same method by dictionaries and loops, over a sample that holds all training rows."""
+    rng = random.Random(9)
+    stems = {"aa": ["kalo", "miru", "tesa", "kal"], "bb": ["schon", "trink", "mir", "wald"], "cc": ["oiseau", "beau", "mira"]}
+    docs = [(i, " ".join(rng.choice(stems[x]) + rng.choice(["", "s", "en"]) for _ in range(rng.randint(1, 9))), x, "") for i, x in enumerate(rng.choices(sorted(stems), k=150))]
+    docs += [(500 + i, t, None, "") for i, t in enumerate(["Kalos unbekannt", "x", "beauwald 77", "_", None, "", "ÉÉ wald"])]
+    train = [(t, x) for i, t, x, _ in docs if t and x and zlib.crc32(str(i).encode()) % 4 != 2]
+    split = lambda t: [w for w in re.findall(r"[^\W\d_]+", t.lower())]
+    grams = lambda w, n: [f" {w} "[k : k + n] for k in range(len(w) + 3 - n)]
+    tables = {0: {}, 1: {}, 2: {}, 3: {}, 4: {}, 5: {}}
+    for t, x in train:
+        for w in split(t):
+            for n in tables:
+                for e in [w] if n == 0 else grams(w, n):
+                    tables[n].setdefault(e, {}).setdefault(x, 0)
+                    tables[n][e][x] += 1
+    langs = sorted(stems)
+    logs = {}
+    for n, table in tables.items():
+        total = {x: sum(c.get(x, 0) for c in table.values()) for x in langs}
+        for e, c in table.items():
+            row = [np.log((c.get(x, 0) + 0.1) / (total[x] + 0.1 * len(table))) for x in langs]
+            logs[n, e] = [v - sum(row) / len(row) for v in row]
+
+    def of(w):
+        if (0, w) in logs:
+            return logs[0, w]
+        for n in (5, 4, 3, 2, 1):
+            known = [logs[n, g] for g in grams(w, n) if (n, g) in logs]
+            if known:
+                return [sum(c) / len(known) for c in zip(*known, strict=True)]
+        return [0.0] * len(langs)
+
+    got = {r["doc_id"]: r for r in langid.language_predictions(frame(spark, docs)).collect()}
+    for i, t, _, _ in docs:
+        words = split(t or "")
+        if not words:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        total = [sum(c) / len(words) ** 0.5 for c in zip(*map(of, words), strict=True)]
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        assert got[i]["score"] == pytest.approx(1 / sum(np.exp(v - total[best]) for v in total)), t
+        assert got[i]["lang_pred"] == langs[best] or sorted(total)[-1] == pytest.approx(sorted(total)[-2])
+
+
+@pytest.mark.parametrize("bounds", [{"max_docs": 40}, {"max_chars": 900}, {"max_docs": 100_000}])
+def test_language_sample_is_bounded(spark, bounds):
+    docs = frame(spark, [(i % 300, "some words of text " * (i % 5), "en" if i % 3 else None, "") for i in range(600)] + [(None, "x", "en", "")])
+    bounds = {"max_docs": 4000, "max_chars": 50_000_000} | bounds
+    rows = langid.sampled(docs, **bounds).collect()
+    assert len(rows) <= bounds["max_docs"] and sum(len(r["text"]) for r in rows) <= bounds["max_chars"]
+    whole = bounds["max_docs"] > 600 and bounds["max_chars"] > 100_000
+    assert len(rows) == 400 if whole else len(rows) > 0.4 * min(bounds["max_docs"], bounds["max_chars"] // 90)
+
+
+def test_language_columns_clash(spark):
+    rows = langid.identify(spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, score int, lang_pred string"), langid.fit(frame(spark, [(1, "a b", "en", "")])))
+    assert rows.columns == ["doc_id", "text", "lang_pred", "score"] and rows.first()["lang_pred"] == "en"
+
+
 SF = "/root/testdata/sf0.01"
 
 
