@@ -96,10 +96,15 @@ def shown(fingerprint: str) -> Column:
 
 
 def hashes(kept: Column, subsets: int) -> Column:
-    """The subset << 32 | hash of each subset that keeps any of the terms; kept: sorted array of struct<term, mask>."""
+    """The subset << 32 | hash of each subset that keeps any of the terms; kept: sorted array of struct<term, mask>.
 
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    each = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda k: F.filter(kept, lambda x: x["mask"].bitwiseAND(bit(k)) != 0))
+    Terms are first parted by the byte of the mask, so that each bit is asked of few of them.
+    """
+    under = lambda terms, shift, ones: F.filter(terms, lambda x: F.call_function("shiftrightunsigned", x["mask"], shift).bitwiseAND(F.lit(ones)) != 0)
+    eight = F.sequence(F.lit(0), F.lit(7))
+    by_bit = lambda terms, byte: F.transform(eight, lambda bit: under(terms, byte * 8 + bit, 1))
+    by_byte = F.transform(F.sequence(F.lit(0), F.lit((subsets - 1) // 8)), lambda byte: under(kept, byte * 8, 255))
+    each = F.slice(F.flatten(F.transform(by_byte, by_bit)), 1, subsets)
     return F.array_compact(F.transform(each, lambda own, k: slot(k, F.xxhash64(own), F.size(own) > 0)))
 
 
