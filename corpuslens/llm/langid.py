@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import lean
+
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 
@@ -151,7 +153,7 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_chars: int = 50_000_000) -> L
                     [pa.array(lang[i:j]), pa.array(is_word[i:j]), pa.array(entry[i:j]), pa.array(n[i:j])], names=["lang", "is_word", "entry", "n"]
                 )
 
-    counts = sampled(docs, max_docs, max_chars).mapInArrow(count, "lang string, is_word boolean, entry string, n long")
+    counts = sampled(docs, max_docs, max_chars).mapInArrow(lean(count), "lang string, is_word boolean, entry string, n long")
     counts = counts.groupBy("lang", "is_word", "entry").agg(F.sum("n").alias("n"))
     return LanguageModel.from_counts(*(c.to_pylist() for c in counts.toArrow().columns))
 
@@ -169,7 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_pre
             langs, scores = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, lang_pred, score])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def language_predictions(docs: DataFrame, modulus: int = 4, out: int = 2) -> DataFrame:

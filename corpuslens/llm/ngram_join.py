@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, WordHashes, heavy_above, join_to_one, mixed, words_of
+from .shared import Scratch, WordHashes, heavy_above, join_to_one, lean, mixed, words_of
 
 SKETCH_BITS, SKETCH_PARTS, BANDS = 20, 16, 15
 SIZE_BITS = 31  # of a class's second number; the rest are bits of its hash
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
                 names=names,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, m long, part int, salt int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, cls long, m long, part int, salt int, counts binary")
 
 
 def _tally(gathered: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def postings(docs: DataFrame, bands, width: int, percent: int, orders: int, shar
             if rows:
                 yield packed(rows)
 
-    return docs.select("text").mapInArrow(run, "key long, salt int, cls long, m long, a int")
+    return docs.select("text").mapInArrow(lean(run), "key long, salt int, cls long, m long, a int")
 
 
 def by_list(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
@@ -259,7 +259,7 @@ def shared_tokens(posted: DataFrame) -> DataFrame:
             )
 
     ordered = posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "cls", "m")
-    return ordered.mapInArrow(run, "cls long, m long, a int, key long, salt int, df int")
+    return ordered.mapInArrow(lean(run), "cls long, m long, a int, key long, salt int, df int")
 
 
 def prefixes(shared: DataFrame, reps: DataFrame, percent: int, orders: int) -> DataFrame:
@@ -298,7 +298,7 @@ def prefixes(shared: DataFrame, reps: DataFrame, percent: int, orders: int) -> D
         columns = (key, salt, about[row], own.astype(np.int32)[row], ids[row], n[row])
         return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "salt", "about", "own", "id", "n"])
 
-    return sets.mapInArrow(run, "key long, salt int, about int, own int, id long, n long")
+    return sets.mapInArrow(lean(run), "key long, salt int, about int, own int, id long, n long")
 
 
 def lists(posted: DataFrame, percent: int) -> DataFrame:
@@ -340,7 +340,7 @@ def lists(posted: DataFrame, percent: int) -> DataFrame:
             yield from distinct(1)
 
     ordered = posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "about", "own", "id")
-    return ordered.mapInArrow(run, "key long, salt long, about long, own long, id long, n long, k int, u long, v long")
+    return ordered.mapInArrow(lean(run), "key long, salt long, about long, own long, id long, n long, k int, u long, v long")
 
 
 def pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -365,7 +365,7 @@ def bloom_of(ids: DataFrame, bits: int = 24) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used].view(np.int64))], names=["at", "word"])
 
     out = np.zeros(1 << (bits - 6), np.int64)
-    for r in ids.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toLocalIterator():
+    for r in ids.mapInArrow(lean(run), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toLocalIterator():
         out[r["at"]] = r["word"]
     return out.view(np.uint64)
 
@@ -389,7 +389,7 @@ def sets_of(docs: DataFrame, bloom, width: int, bits: int = 24) -> DataFrame:
                 sets = [shingles(b.column("text")[int(i)].as_py(), width, hashes).tobytes() for i in at]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "id long, tokens binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -408,7 +408,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("u"), F.col("tokens").alias("x"))
     right = sets.select(F.col("id").alias("v"), F.col("tokens").alias("y"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(lean(run), "u long, v long")
 
 
 def across(tagged: DataFrame, percent: int, orders: int) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import lean
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -339,7 +341,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS)])
     schema.add("base_sha256", "string").add("spans", "string").add("n_added", "long")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def redact(text: str | None) -> str | None:
@@ -364,4 +366,4 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             at = b.schema.get_field_index(text)
             yield b.set_column(at, b.schema.field(at), pa.array([redact(t.as_py()) for t in b.column(at)], pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import kept, lean
+
 MARK = "▁"
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -218,15 +220,10 @@ class Codec:
 
 codecs.register_error("one-by-one", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
-_LAST: dict[bytes, Codec] = {}
-
 
 def codec_of(data: bytes) -> Codec:
-    """The worker's codec of a model: one at a time, kept from task to task."""
-    if data not in _LAST:
-        _LAST.clear()
-        _LAST[data] = Codec(data)
-    return _LAST[data]
+    """The worker's codec of a model: one at a time, kept from task to task of this operator."""
+    return kept(data, lambda: Codec(data))
 
 
 def _transform(docs: DataFrame, model_path: str, schema: T.StructType, columns: list[str], rows, batch: int) -> DataFrame:
@@ -241,7 +238,7 @@ def _transform(docs: DataFrame, model_path: str, schema: T.StructType, columns:
                 part = b.slice(at, batch)
                 yield pa.RecordBatch.from_arrays(rows(codec, part), schema=None, names=schema.names)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(lean(run, keeps=True), schema)
 
 
 def encoded(docs: DataFrame, model_path: str, batch: int = 2000) -> DataFrame:

@@ -373,6 +373,25 @@ def test_pipeline_against_brute_force(spark):
     assert got == expected
 
 
+def test_stages_leave_no_memory_to_the_next(spark, tmp_path, monkeypatch):
+    """Python workers live on from stage to stage: each function of a stage gives its memory back, and drops another's model."""
+    made, given, frames = [], [], type(spark.range(0))
+    map_in_arrow = frames.mapInArrow
+    monkeypatch.setattr(frames, "mapInArrow", lambda df, run, *rest: made.append(run) or map_in_arrow(df, run, *rest))
+    spark.createDataFrame([(1, "a passage that is in none of the documents here at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = frame(spark, near_copies(5, groups=2))
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path))
+    assert len(made) >= 10
+    monkeypatch.setattr(shared, "give_back", lambda: given.append(1))
+    for i, run in enumerate(made):
+        shared.kept("another's", object)
+        before = len(given)
+        list(run(iter(())))
+        assert len(given) > before and "another's" not in shared._KEPT, run.__qualname__
+    shared.forget()
+
+
 def test_counts_of_docs(spark):
     docs = near_copies(5, groups=2)
     rows = ngram_join.jaccard_components(frame(spark, docs)).collect()
