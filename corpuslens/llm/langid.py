@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import lean
+from .shared import lean, parts
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_chars: int = 50_000_000) -> L
 
     def count(batches):
         found: Counter = Counter()
-        for b in batches:
+        for b in parts(batches):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 for w, k in Counter(letters(text)).items():
                     found[lang, True, w] += k
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_pre
 
     def run(batches):
         of = shared.value.scorer()
-        for b in batches:
+        for b in parts(batches, text):
             found = [of(t.as_py()) for t in b.column(text)]
             langs, scores = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, lang_pred, score])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import lean
+from .shared import lean, parts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -362,7 +362,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, with personal data in `text` replaced; all other columns as they are."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches, text):
             at = b.schema.get_field_index(text)
             yield b.set_column(at, b.schema.field(at), pa.array([redact(t.as_py()) for t in b.column(at)], pa.string()))
 

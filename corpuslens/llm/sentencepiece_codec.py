@@ -20,6 +20,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import itertools
+import os
 import re
 import struct
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import kept, lean
+from .shared import kept, lean, parts
 
 MARK = "▁"
 # Fixed values of the model format: piece types and model types.
@@ -181,8 +182,8 @@ class Codec:
         if len(known) > most:
             known.clear()
         new = [s for s in dict.fromkeys(s for c in cut for s in c) if s not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 2_000):
+            part = new[at : at + 2_000]
             for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[s] = np.array(e.ids, np.int32)
         out = []
@@ -232,8 +233,9 @@ def _transform(docs: DataFrame, model_path: str, schema: T.StructType, columns:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already; each thread keeps memory of its own
         codec = codec_of(data.value)
-        for b in batches:
+        for b in parts(batches, most=4 << 20) if "text" in columns else batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
                 yield pa.RecordBatch.from_arrays(rows(codec, part), schema=None, names=schema.names)

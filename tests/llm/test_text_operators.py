@@ -5,9 +5,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from corpuslens.llm import langid, ngram_lm, pii, preferences, queries, secrets_scan, sentencepiece_codec, url_filter
+from corpuslens.llm import langid, ngram_lm, pii, preferences, queries, secrets_scan, sentencepiece_codec, shared, url_filter
 from corpuslens.llm.shared import words_of
 
 DOC = "doc_id long, text string, lang string, extra string"
@@ -527,3 +528,22 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.select("doc_id", "lang").join(langid.language_predictions(docs), "doc_id").where("held_out and lang is not null").collect()
     assert len(rows) > 100 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
+
+
+def test_tasks_take_bounded_slices():
+    class Frame:
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = ["to a@b.de " + "é" * 200_000, None, "", "x " * 700_000, "me@x.org", *["word " * 60_000] * 9]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    out = list(pii.redacted(Frame())(iter([batch])))
+    assert len(out) > 4 and all(b.num_rows == 1 or b.column("text").nbytes < 1 << 21 for b in out)
+    assert [t for b in out for t in b.column("text").to_pylist()] == [pii.redact(t) for t in texts]
+
+    cut = list(shared.parts(iter([batch, batch.slice(0, 0), batch.slice(5)])))
+    assert [t for b in cut for t in b.column("text").to_pylist()] == texts + texts[5:]
+    assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column("text").to_pylist()) <= 1 << 20 for b in cut)
+    assert len(cut) < len(texts)
