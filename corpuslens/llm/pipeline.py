@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, langid, pii, sentencepiece_codec
 from .ngram_join import jaccard_components
-from .shared import read_table
+from .shared import read_table, small_batches
 
 PRED, SCORE, KEY, COPIES = "__lang_pred", "__lang_score", "__key", "__copies"
 
@@ -30,6 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat a doc_id are judged by their own text each.  Without a labelled row nothing
     can be learned, so nothing is kept.
     """
+    small_batches(spark)
     found = langid.identify(docs, langid.fit(docs), lang_pred=PRED, score=SCORE)
     return found.where(F.col(PRED) != "und").withColumn("lang", F.coalesce("lang", PRED)).drop(PRED, SCORE).select(*docs.columns)
 
@@ -41,6 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     both, the smallest one stays.  Two texts of one doc_id that link: the smaller key stays.  A null
     doc_id is never linked; null and wordless texts are linked with nothing.
     """
+    small_batches(spark)
     rows = keyed(docs).where("doc_id is not null")
     groups = jaccard_components(rows.select(F.col(KEY).alias("doc_id"), "text"), width=5, percent=80)
     groups = groups.groupBy(F.col("doc_id").alias(KEY)).agg(F.min("component_id").alias("__component"), F.count("*").alias(COPIES))
@@ -65,9 +67,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data, plain and disguised; n_chars follows the text.  A null text stays null."""
+    small_batches(spark)
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens) of every row that is left; a null or empty text has no ids."""
+    small_batches(spark)
     return sentencepiece_codec.encoded(docs, sentencepiece_codec.default_model()).withColumn("n_tokens", F.size("ids"))

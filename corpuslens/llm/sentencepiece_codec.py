@@ -163,7 +163,7 @@ class Codec:
                 self.surface.append(b"")
             else:
                 self.surface.append((m.unknown_surface if k == UNKNOWN else p.replace(MARK, " ")).encode())
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # int32 ids of recent segments
 
     def normalized(self, text: str) -> str:
         m = self.model
@@ -175,7 +175,7 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if m.escape_whitespace else text
 
-    def encode(self, texts: list[str | None], most: int = 50_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], most: int = 100_000) -> list[np.ndarray]:
         """Ids per text; segments that are new in this call are encoded in one batch."""
         cut = [self.cut.findall(self.normalized(t)) if t else [] for t in texts]
         known = self.known
@@ -185,12 +185,8 @@ class Codec:
         for at in range(0, len(new), 2_000):
             part = new[at : at + 2_000]
             for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[s] = np.array(e.ids, np.int32)
-        out = []
-        for c in cut:
-            ids = np.concatenate([known[s] for s in c]) if c else np.empty(0, np.int32)
-            out.append(self._fused(ids))
-        return out
+                known[s] = np.array(e.ids, np.int32).tobytes()
+        return [self._fused(np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32)) for c in cut]
 
     def _fused(self, ids: np.ndarray) -> np.ndarray:
         """Unknown ids that follow one another are one, across segments too."""
@@ -235,7 +231,7 @@ def _transform(docs: DataFrame, model_path: str, schema: T.StructType, columns:
     def run(batches):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already; each thread keeps memory of its own
         codec = codec_of(data.value)
-        for b in parts(batches, most=4 << 20) if "text" in columns else batches:
+        for b in parts(batches) if "text" in columns else batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
                 yield pa.RecordBatch.from_arrays(rows(codec, part), schema=None, names=schema.names)

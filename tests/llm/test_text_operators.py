@@ -1,14 +1,17 @@
+import contextlib
 import hashlib
 import os
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
-from corpuslens.llm import langid, ngram_lm, pii, preferences, queries, secrets_scan, sentencepiece_codec, shared, url_filter
+from corpuslens.llm import langid, ngram_lm, pii, pipeline, preferences, queries, secrets_scan, sentencepiece_codec, shared, url_filter
 from corpuslens.llm.shared import words_of
 
 DOC = "doc_id long, text string, lang string, extra string"
@@ -547,3 +550,54 @@ def test_tasks_take_bounded_slices():
     assert [t for b in cut for t in b.column("text").to_pylist()] == texts + texts[5:]
     assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column("text").to_pylist()) <= 1 << 20 for b in cut)
     assert len(cut) < len(texts)
+
+
+def test_encoding_takes_bounded_slices(monkeypatch):
+    class Frame:
+        schema = {"doc_id": T.StructField("doc_id", T.LongType())}
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    seen, encode = [], sentencepiece_codec.Codec.encode
+    monkeypatch.setattr(sentencepiece_codec.Codec, "encode", lambda self, texts: seen.append(texts) or encode(self, texts))
+    texts = [f"w{i} café " * 20_000 for i in range(12)] + [None, "", "last one"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    out = list(sentencepiece_codec.encoded(Frame(), sentencepiece_codec.default_model())(iter([batch])))
+    assert max(sum(len((t or "").encode()) for t in x) for x in seen) <= 1 << 20 and [t for x in seen for t in x] == texts
+    with open(sentencepiece_codec.default_model(), "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    assert [x for b in out for x in b.column("ids").to_pylist()] == [encode(codec, [t], most=1)[0].tolist() for t in texts]
+
+
+def test_pipeline_stages_take_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(2500).selectExpr("id doc_id", "'a b' text", "'en' lang", "3L n_chars").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    def stop(*args, **named):
+        raise InterruptedError
+
+    monkeypatch.setattr(pipeline, "jaccard_components", stop)
+    monkeypatch.setattr(langid, "fit", stop)
+    try:
+        for stage in (pipeline.language, pipeline.near_duplicates, pipeline.without_personal_data, pipeline.tokens):
+            spark.conf.set(key, "10000")
+            with contextlib.suppress(InterruptedError):
+                stage(spark, docs, "")
+            found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) == 2500 and max(found) <= 1000, stage
+        for given, then in (("0", "1000"), ("-1", "1000"), ("10", "10")):
+            spark.conf.set(key, given)
+            shared.small_batches(spark)
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)
